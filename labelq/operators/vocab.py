@@ -120,6 +120,7 @@ def extract_entities(
     extractor: Callable[[str], list] | None = None,
     tag_to_slot: dict[str, str] | None = None,
     truncate_chars: int | None = None,
+    excluded: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Run an entity extractor per text inside ``mapInPandas``; emit (id, tag, term).
 
@@ -128,7 +129,10 @@ def extract_entities(
     mirrors the model-length cut of one extractor (F18); by default whole texts are used.
     """
     ship_package(df.sparkSession)
-    extractor = extractor or regex_extractor()
+    if extractor is None:
+        # the regex fallback drops its excluded terms, as extract_terms does
+        extractor = regex_extractor()
+        excluded = EXCLUDED_TERMS if excluded is None else excluded
     src = df.select(id_col, text_col)
     id_field = src.schema[id_col]
     schema = T.StructType([id_field, T.StructField("tag", T.StringType()), T.StructField("term", T.StringType())])
@@ -158,6 +162,9 @@ def extract_entities(
         for tag, s in tag_to_slot.items():
             m = F.when(F.col("tag") == tag, F.lit(s)) if m is None else m.when(F.col("tag") == tag, F.lit(s))
         slot = m if m is not None else F.lit(None).cast("string")
-    return ents.withColumn("category", slot).withColumn("term", py_strip("term")).where(
+    out = ents.withColumn("category", slot).withColumn("term", py_strip("term")).where(
         F.col("category").isNotNull() & term_ok("term")
     )
+    for cat, words in (excluded or {}).items():
+        out = out.where(~((F.col("category") == cat) & F.col("term").isin(*words)))
+    return out
