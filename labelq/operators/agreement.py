@@ -1,7 +1,7 @@
 """Rater merge and agreement.
 
-Raters arrive in long form ``(id, rater, raw_flag)``: one shuffle (``groupBy(id)`` with an
-explicit pivot list) merges any number of raters, instead of one join per rater. All
+Raters arrive in long form ``(id, rater, raw_flag)``: one shuffle (``groupBy(id)`` with one
+conditional aggregate per rater) merges any number of raters, instead of one join per rater. All
 agreement statistics need only integer sums, so they come from one global aggregate whose
 partial sums are combined map-side; kappas are closed forms over those sums.
 """
@@ -40,13 +40,18 @@ def merge_raters(
     norm = long_df.select(
         F.col(id_col), F.col(rater_col), to_bool_lenient(raw_col).cast("int").alias("_f")
     )
-    wide = norm.groupBy(id_col).pivot(rater_col, list(raters)).agg(F.max("_f"))
+    # explicit rater list: one conditional aggregate per rater, partial aggregation map-side,
+    # one shuffle on the id (a pivot would plan two)
+    wide = norm.groupBy(id_col).agg(
+        *[F.max(F.when(F.col(rater_col) == r, F.col("_f"))).alias(r) for r in raters],
+        *[F.count_if(F.col(rater_col) == r).alias(f"_n_{r}") for r in raters],
+    )
     if how == "inner":
         keep = F.lit(True)
         for r in raters:
-            keep = keep & F.col(r).isNotNull()
+            keep = keep & (F.col(f"_n_{r}") > 0)
     elif how == "left":
-        keep = F.col(raters[0]).isNotNull()
+        keep = F.col(f"_n_{raters[0]}") > 0
     else:
         raise ValueError(f"unsupported how={how!r}")
     return wide.where(keep).select(
@@ -111,7 +116,7 @@ def agreement_sums(df: DataFrame, raters: Sequence[str], pairs: Sequence[tuple[s
         F.count_if(F.col("gt_union")).alias("union_true"),
     ]
     aggs += [F.count_if(F.col(flag_col(r))).alias(f"true_{r}") for r in raters]
-    for a, b in pairs or default_pairs(raters):
+    for a, b in default_pairs(raters) if pairs is None else pairs:
         aggs += _pair_counts(a, b)
     return df.agg(*aggs)
 

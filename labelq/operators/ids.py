@@ -59,39 +59,48 @@ def dense_ids(
     )
 
 
+def _pair_window(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
+    """Rows hash-partitioned once by ``pair_no = floor((id + 1) / 2)``; each row learns its
+    group size and the group's smallest and largest id. ``_ok`` is false for a group that is
+    not a valid pair (more than two rows, or two equal ids)."""
+    pno = F.floor((F.col(id_col) + 1) / 2).cast("bigint")
+    w = Window.partitionBy("_pno")
+    x = df.select(F.col(id_col), *[F.col(c) for c in cols]).withColumn("_pno", pno)
+    x = x.withColumns(
+        {"_n": F.count(F.lit(1)).over(w), "_lo": F.min(id_col).over(w), "_hi": F.max(id_col).over(w)}
+    )
+    return x.withColumn("_ok", (F.col("_n") == 1) | ((F.col("_n") == 2) & (F.col("_lo") < F.col("_hi"))))
+
+
+def _checked(value, id_col: str):
+    """The value, or a run-time error on a duplicate id (the reference raises as well)."""
+    return F.when(F.col("_ok"), value).otherwise(F.raise_error(F.lit(f"duplicate {id_col} in pair lookup")))
+
+
 def pair_join(df: DataFrame, id_col: str, cols: Sequence[str], prefix: str = "pair_") -> DataFrame:
     """Attach the partner row (odd id -> id + 1, even id -> id - 1).
 
-    Both members of a pair share ``pair_no = floor((id + 1) / 2)``; joining on it lets both
-    sides use one hash partitioning of the same scan (the exchange is reused), and partners
-    are then told apart by the parity rule. Ids must be unique: a pair group with more than
-    two rows, or two equal ids, raises at run time (the reference raises as well).
-    """
-    pno = F.floor((F.col(id_col) + 1) / 2).cast("bigint")
+    Both members of a pair share ``pair_no``, so one shuffle on it brings partners together
+    and window aggregates hand each row the other's columns: no self-join. Rows without a
+    partner are left out (see :func:`pair_missing`). Ids must be unique; a duplicate raises."""
     w = Window.partitionBy("_pno")
-    base = df.select(F.col(id_col), *[F.col(c) for c in cols]).withColumn("_pno", pno)
-    checked = base.withColumn(
-        "_ok",
-        F.assert_true(
-            (F.count(F.lit(1)).over(w) == 1)
-            | ((F.count(F.lit(1)).over(w) == 2) & (F.min(id_col).over(w) < F.max(id_col).over(w))),
-            F.lit(f"duplicate {id_col} in pair lookup"),
-        ),
-    )
-    left = checked.where(F.col("_ok").isNull()).select(F.col(id_col), *[F.col(c) for c in cols], "_pno")
-    right = checked.select(
-        F.col(id_col).alias(f"{prefix}id"), *[F.col(c).alias(f"{prefix}{c}") for c in cols], F.col("_pno").alias("_pno_r")
+    x = _pair_window(df, id_col, cols)
+    is_lo = F.col(id_col) == F.col("_lo")
+    partner = {
+        f"{prefix}{c}": F.when(is_lo, F.max_by(c, id_col).over(w)).otherwise(F.min_by(c, id_col).over(w))
+        for c in cols
+    }
+    pid = _checked(F.when(is_lo, F.col("_hi")).otherwise(F.col("_lo")), id_col)
+    return (
+        x.where(F.col("_n") >= 2)
+        .withColumns(partner)
+        .select(F.col(id_col), *[F.col(c) for c in cols], pid.alias(f"{prefix}id"), *partner)
     )
-    # equi key = pair_no only; inside a checked pair group the other member is the partner
-    joined = left.join(right, (F.col("_pno") == F.col("_pno_r")) & (F.col(f"{prefix}id") != F.col(id_col)), "inner")
-    return joined.drop("_pno", "_pno_r")
 
 
 def pair_missing(df: DataFrame, id_col: str) -> DataFrame:
-    """J5 report: rows whose partner id is absent (anti join on the same pair key)."""
-    pno = F.floor((F.col(id_col) + 1) / 2).cast("bigint")
-    left = df.select(F.col(id_col), pno.alias("_pno"), partner_id(F.col(id_col)).alias("pair_id"))
-    right = df.select(F.col(id_col).alias("_rid"), pno.alias("_pno_r"))
-    return left.join(
-        right, (F.col("_pno") == F.col("_pno_r")) & (F.col("_rid") != F.col(id_col)), "left_anti"
-    ).drop("_pno")
+    """J5 report: rows whose partner id is absent (same single shuffle, no join)."""
+    x = _pair_window(df, id_col, [])
+    return x.where((F.col("_n") == 1) | ~F.col("_ok")).select(
+        F.col(id_col), _checked(partner_id(F.col(id_col)), id_col).alias("pair_id")
+    )

@@ -80,19 +80,24 @@ def confusion_by(df: DataFrame, group_cols: Sequence[str], truth: str, pred: str
     return with_metrics(df.groupBy(*group_cols).agg(*confusion_aggs(truth, pred)))
 
 
-def gate_analysis(df: DataFrame, group_cols: Sequence[str], gated: str, truth: str) -> DataFrame:
-    """Gated total, truly ambiguous among the gated, success and risk rates (0 if none)."""
-    g, t = F.col(gated), F.col(truth)
-    agg = df.groupBy(*group_cols).agg(
-        F.count_if(g).alias("filtered_total"),
-        F.count_if(g & t).alias("filtered_ambiguous"),
-    )
+def gate_aggs(gated: Column | str, truth: Column | str) -> list[Column]:
+    """A12 counts as aggregate expressions (to share one aggregate with A9)."""
+    g, t = col_of(gated), col_of(truth)
+    return [F.count_if(g).alias("filtered_total"), F.count_if(g & t).alias("filtered_ambiguous")]
+
+
+def with_gate_rates(df: DataFrame) -> DataFrame:
     total, amb = F.col("filtered_total"), F.col("filtered_ambiguous")
-    return agg.withColumns(
+    return df.withColumns(
         {"filter_success_rate": ratio0(total - amb, total), "filter_risk_rate": ratio0(amb, total)}
     )
 
 
+def gate_analysis(df: DataFrame, group_cols: Sequence[str], gated: str, truth: str) -> DataFrame:
+    """Gated total, truly ambiguous among the gated, success and risk rates (0 if none)."""
+    return with_gate_rates(df.groupBy(*group_cols).agg(*gate_aggs(gated, truth)))
+
+
 def score_crosstab(
     df: DataFrame, group_cols: Sequence[str], score: str, truth: str, lo: int = 0, hi: int = 10
 ) -> DataFrame:

@@ -62,15 +62,19 @@ def batch_score(
     max_retries: int = MAX_RETRIES,
     pause_s: float = PAUSE_S,
     sleep: Callable[[float], None] = time.sleep,
+    keep_text: bool = False,
 ) -> DataFrame:
     """M1-M3: score ``text_col`` in calls of ``batch_size`` rows.
 
     Output: ``key_cols`` + ``result_fields`` + ``status`` ('ok' / 'failed') + ``attempts``.
-    Only the key and text columns cross into Python (select before the operator).
+    Only the key and text columns cross into Python (select before the operator);
+    ``keep_text`` returns the text too, so callers need no join back to the input.
     """
     ship_package(df.sparkSession)
     keys = list(key_cols)
     src = df.select(*keys, text_col)
+    if keep_text:
+        keys = keys + [text_col]
     key_fields = [src.schema[k] for k in keys]
     out_schema = T.StructType(
         key_fields

@@ -78,20 +78,30 @@ def _votes(spark, sf) -> DataFrame:
 
 
 def gate_analysis(spark, sf):
-    enriched = moderation_enrich(spark, sf)
+    """P14 + P19 + M5 + A12 + A9/A10 per model in one scan and one aggregate: gated rows
+    (label 1 and flagged; unmatched moderation = label 0, not flagged) are predicted False
+    without reaching the parser; the rest are parsed."""
+    x = R.items_with_label(spark, sf)
+    prompt = R.echo_prompt(F.col("text"), F.col("label"))
+    response = P.strip_echo(F.concat(prompt, R.reply_for(F.col("doc_id"), F.col("text"))), prompt)
+    label = F.coalesce(F.col("label"), F.lit(0))
+    flagged = F.coalesce(N.to_bool_lenient(R.raw_flag_text(F.col("toxic"), F.col("doc_id"))), F.lit(False))
+    gated = (label == 1) & flagged
     truth = _votes(spark, sf).select("doc_id", "gt_majority")
-    resp = R.responses(spark, sf).select("doc_id", "source", "response")
-    x = resp.join(enriched, "doc_id").join(truth, "doc_id", "left")
-    gated = (F.col("original_label") == 1) & F.col("moderation_flagged")
-    x = x.select(
+    rows = x.select(
+        "doc_id",
         "source",
         gated.alias("gated"),
-        F.coalesce(F.col("gt_majority"), F.lit(False)).alias("gt_is_ambiguous"),
-        F.when(gated, F.lit(False)).otherwise(P.parse_verdict(F.col("response"))).alias("pred_is_ambiguous"),
+        F.when(gated, F.lit(False)).otherwise(P.parse_verdict(response)).alias("pred_is_ambiguous"),
+    ).join(truth, "doc_id", "left")
+    rows = rows.withColumn("gt_is_ambiguous", F.coalesce(F.col("gt_majority"), F.lit(False)))
+    agg = rows.groupBy("source").agg(
+        *M.gate_aggs("gated", "gt_is_ambiguous"), *M.confusion_aggs("gt_is_ambiguous", "pred_is_ambiguous")
+    )
+    return M.with_metrics(M.with_gate_rates(agg)).select(
+        "source", "filtered_total", "filtered_ambiguous", "filter_success_rate", "filter_risk_rate",
+        "tp", "fn", "fp", "tn", "n", "accuracy", "precision", "recall", "f1",
     )
-    g = M.gate_analysis(x, ["source"], "gated", "gt_is_ambiguous")
-    c = M.confusion_by(x, ["source"], "gt_is_ambiguous", "pred_is_ambiguous")
-    return g.join(c, "source")
 
 
 # --- normalisers and names ------------------------------------------------------------------
@@ -277,33 +287,42 @@ def fleiss(spark, sf):
 
 
 def _predictions(spark, sf) -> DataFrame:
-    """Long predictions table of several runs: model = source, methods classification (F2),
-    stepwise (F4), scoring (F5, score >= 5, unscored rows dropped). Carries a stale truth
-    column, as result files do."""
+    """Predictions of several runs, one row per item: model = source, methods classification
+    (F2), stepwise (F4), scoring (F5, score >= 5; unscored rows are dropped later). Carries a
+    stale truth column, as result files do."""
     r = R.responses(spark, sf)
-    score = P.parse_score(F.col("response"))
-    runs = F.array(
-        F.struct(F.lit("classification").alias("method"), P.parse_verdict(F.col("response")).alias("pred")),
-        F.struct(F.lit("stepwise").alias("method"), P.parse_stepwise(F.col("response")).alias("pred")),
-        F.struct(F.lit("scoring").alias("method"), (score >= 5).alias("pred")),
-    )
-    out = r.select(
-        "doc_id", F.col("source").alias("model"), F.lit(R.MODEL_PROMPT).alias("prompt"),
-        F.lit(False).alias("gt_majority"), F.inline(runs),
+    return r.select(
+        "doc_id",
+        F.col("source").alias("model"),
+        F.lit(False).alias("gt_majority"),
+        P.parse_verdict(F.col("response")).alias("pred_classification"),
+        P.parse_stepwise(F.col("response")).alias("pred_stepwise"),
+        (P.parse_score(F.col("response")) >= 5).alias("pred_scoring"),
     )
-    return out.where(F.col("pred").isNotNull())
+
+
+METHODS = ("classification", "stepwise", "scoring")
+GT_TYPES = ("gt_majority", "gt_union")
 
 
 def _reevaluated(spark, sf) -> DataFrame:
-    """Drop stale truth, left join the latest truth, stack the truth types."""
+    """Drop stale truth, left join the latest truth (one row per item crosses the
+    shuffle), then one generator stacks methods x truth types."""
     preds = _predictions(spark, sf).drop("gt_majority", "gt_union")
-    truth = _votes(spark, sf).select("doc_id", "gt_majority", "gt_union")
+    truth = _votes(spark, sf).select("doc_id", *GT_TYPES)
     j = preds.join(truth, "doc_id", "left")
-    types = F.array(
-        F.struct(F.lit("gt_majority").alias("gt_type"), F.col("gt_majority").alias("truth")),
-        F.struct(F.lit("gt_union").alias("gt_type"), F.col("gt_union").alias("truth")),
+    runs = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("method"), F.col(f"pred_{m}").alias("pred"),
+                F.lit(g).alias("gt_type"), F.col(g).alias("truth"),
+            )
+            for m in METHODS
+            for g in GT_TYPES
+        ]
     )
-    return j.select("model", "method", "prompt", "pred", F.inline(types))
+    out = j.select("model", F.lit(R.MODEL_PROMPT).alias("prompt"), F.inline(runs))
+    return out.where(F.col("pred").isNotNull())
 
 
 def _confusion_with_unmatched(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -466,11 +485,11 @@ _RESPONSE_FIELD = [T.StructField("response", T.StringType())]
 
 
 def _regenerated(spark, sf) -> DataFrame:
-    """M8: only is_ok = 0 rows reach the scorer (the rule stand-in, in mapInPandas)."""
+    """M8: only is_ok = 0 rows reach the scorer (the rule stand-in, in mapInPandas); the
+    prompt travels through the operator, so nothing is joined back."""
     a = R.annotation(spark, sf).where(F.col("is_ok") == 0)
     q = a.select("doc_id", R.feedback_prompt(a).alias("prompt"))
-    scored = batch_score(q, "prompt", ["doc_id"], stand_in_scorer, _RESPONSE_FIELD, pause_s=0.0)
-    return q.join(scored, "doc_id")
+    return batch_score(q, "prompt", ["doc_id"], stand_in_scorer, _RESPONSE_FIELD, pause_s=0.0, keep_text=True)
 
 
 def regenerate_queue(spark, sf):
