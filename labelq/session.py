@@ -74,3 +74,14 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="labelq")
     spark.sparkContext.addPyFile(archive)
     spark.conf.set("labelq.shipped", "true")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading
+    it back. Use before a result fans out to several sinks (scorer output must not be
+    recomputed per sink) and on long plans, so a lost executor costs a re-read, not a
+    re-run of the lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "materialized", name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

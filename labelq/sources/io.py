@@ -100,17 +100,20 @@ def pools_json(pools: DataFrame) -> DataFrame:
     )
 
 
-def report_lines(df: DataFrame, title: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
-    """K4: one text report per row: a title, then ``label : value`` lines.
-
-    ``fields`` is a list of (label, column) and the value is formatted with 4 decimals for
-    doubles, as is for the rest."""
-    lines: list[Column] = [F.lit(title), F.lit("-" * 40)]
+def report_column(df: DataFrame, title: Column, fields: Sequence[tuple[str, str]]) -> Column:
+    """K4: report text of one row: a title, a rule, then ``label : value`` lines (doubles
+    with 4 decimals, other values as text, NULL as ``nan``)."""
+    lines: list[Column] = [title, F.lit("-" * 40)]
     for label, c in fields:
         dt = df.schema[c].dataType
         val = F.format_number(F.col(c), 4) if isinstance(dt, (T.DoubleType, T.FloatType)) else F.col(c).cast("string")
         lines.append(F.concat(F.lit(f" {label:<24}: "), F.coalesce(val, F.lit("nan"))))
-    return df.select(F.concat_ws("\n", *lines).alias("report"))
+    return F.concat_ws("\n", *lines)
+
+
+def report_lines(df: DataFrame, title: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """K4: one text report per row."""
+    return df.select(report_column(df, F.lit(title), fields).alias("report"))
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -77,3 +77,22 @@ def test_partitioned_split_sink_and_bom(spark, tmp_out):
     write_csv(df, out, partition_by=["cell"])
     assert sorted(x for x in os.listdir(out) if x.startswith("cell=")) == ["cell=FN", "cell=TP"]
     assert with_bom_header(df).columns[0] == "﻿ID"
+
+
+def test_jobs_write_split_and_reports(spark, tmp_out):
+    from labelq.plans.jobs import moderation_split, reevaluation_outputs
+    from labelq.plans.queries import QUERIES
+    from tests.conftest import SF001
+
+    items = spark.createDataFrame(
+        [(1, 1, "short"), (2, 0, "x" * 2000), (3, 1, "y" * 3000), (4, 0, "z")], "doc_id long, label int, text string"
+    )
+    res = moderation_split(items, lambda ts: [{"moderation_flagged": len(t) > 1000} for t in ts],
+                           os.path.join(tmp_out, "mod"), name="t_mod")
+    assert {r.doc_id: r.quadrant for r in res.collect()} == {1: "A", 2: "B", 3: "C", 4: "D"}
+    assert sorted(x for x in os.listdir(os.path.join(tmp_out, "mod", "quadrants")) if x.startswith("quadrant=")) == [
+        "quadrant=A", "quadrant=B", "quadrant=C", "quadrant=D"]
+    reevaluation_outputs(QUERIES["reevaluate"](spark, SF001), os.path.join(tmp_out, "re"))
+    assert os.path.isdir(os.path.join(tmp_out, "re", "metrics", "gt_type=gt_majority"))
+    text = spark.read.text(os.path.join(tmp_out, "re", "reports"), wholetext=False).collect()
+    assert any("Accuracy" in r.value for r in text)
