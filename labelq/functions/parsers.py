@@ -65,7 +65,9 @@ def parse_score(response: Column | str, lo: int = 0, hi: int = 10) -> Column:
     Runs longer than two significant digits are above ``hi`` whatever their value, so they
     clamp without an integer cast that could overflow.
     """
-    digits = F.regexp_extract(ascii_digits(py_strip(response)), r"([0-9]+)", 1)
+    # \p{Nd} is the Unicode decimal-digit category, Python's \d; only the first run is
+    # translated to ASCII, not the whole text
+    digits = ascii_digits(F.regexp_extract(col_of(response), r"(\p{Nd}+)", 1))
     significant = F.ltrim(digits, F.lit("0"))
     value = F.when(significant == "", F.lit(0)).otherwise(significant.try_cast("int"))
     clamped = F.least(F.greatest(value, F.lit(lo)), F.lit(hi))

@@ -96,7 +96,7 @@ def label_parse(r: str) -> str:
 
 
 def score(r: str) -> str:
-    d = f"regexp_extract({sql_ascii_digits(STRIP(r))}, '([0-9]+)', 1)"
+    d = sql_ascii_digits(f"regexp_extract({r}, '(\\p{{Nd}}+)', 1)")
     s = f"ltrim({d}, '0')"
     v = f"(CASE WHEN {s} = '' THEN 0 ELSE TRY_CAST({s} AS INTEGER) END)"
     return (
@@ -170,11 +170,9 @@ ITEMS = (
     "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, 1 - l.quality AS label, l.toxic "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 )
-RESPONSES = (
-    f"(SELECT doc_id, source, label, "
-    f"{STRIP(f'replace({echo('text', 'label')} || {reply('doc_id', 'text')}, {echo('text', 'label')}, {S(chr(39) * 0)})')} AS response "
-    f"FROM {ITEMS})"
-)
+_ECHO = echo("text", "label")
+_RAW = f"{_ECHO} || {reply('doc_id', 'text')}"
+RESPONSES = f"(SELECT doc_id, source, label, {STRIP(f'replace({_RAW}, {_ECHO}, {S(str())})')} AS response FROM {ITEMS})"
 VOTES = (
     "(SELECT doc_id, fa AS flag_a, fb AS flag_b, fc AS flag_c, "
     "CAST(fa AS INTEGER) + CAST(fb AS INTEGER) + CAST(fc AS INTEGER) AS votes "
