@@ -1,5 +1,6 @@
 """Column normalisers: booleans (P7), numeric coercion (P8), label text (P11), names (F20),
-partner ids (F19), presence-guarded projections (P1, P2, P5, P6, P18, P20)."""
+partner ids (F19), presence-guarded projections (P1, P2, P5, P6, P18, P20), null-key drops with
+observed counts (P10), structure checks and row counts without a second scan (P21, A21)."""
 
 from __future__ import annotations
 
@@ -116,3 +117,35 @@ def alias_first_present(df: DataFrame, target: str, candidates: list[str]) -> Da
         if c in df.columns:
             return df.withColumnRenamed(c, target)
     raise ValueError(f"none of {candidates} present for {target}")
+
+
+def observe_rows(df: DataFrame, name: str):
+    """Row count of a frame, collected by the job that consumes it (no second
+    scan). Returns (frame, Observation); read ``obs.get['rows']`` after an action."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def drop_null_keys(df: DataFrame, cols: list[str], name: str = "dropped"):
+    """P10: drop rows with a NULL in any of ``cols``; the number dropped is observed in the
+    same pass. Returns (kept frame, Observation with ``rows_in`` and ``dropped``)."""
+    from pyspark.sql import Observation
+
+    bad = None
+    for c in cols:
+        cond = F.col(c).isNull()
+        bad = cond if bad is None else bad | cond
+    obs = Observation(name)
+    counted = df.observe(obs, F.count(F.lit(1)).alias("rows_in"), F.count_if(bad).alias("dropped"))
+    return counted.where(~bad), obs
+
+
+def check_rater_columns(df: DataFrame, fragment: str, raters: list[str]) -> list[str]:
+    """Flag columns found by name versus raters configured; warns on a mismatch and
+    returns the columns found (the run continues, as in the reference)."""
+    found = [c for c in df.columns if fragment in c and any(c.split(fragment)[0].rstrip("_") == r for r in raters)]
+    if len(found) != len(raters):
+        print(f"warning: {len(found)} flag columns found for {len(raters)} configured raters")
+    return found

@@ -56,3 +56,20 @@ def test_render_format_is_not_rescanned(spark):
     assert out == "has {b} inside/None/{x}"
     with pytest.raises(KeyError):
         render_format("{zzz}", a=F.col("a"))
+
+
+def test_observed_counts_and_null_drops(spark):
+    df = spark.createDataFrame([(1, 5), (None, 3), (3, None), (4, 1)], "id long, score int")
+    kept, obs = N.drop_null_keys(df, ["id", "score"], name="t_drop")
+    assert kept.count() == 2
+    assert obs.get == {"rows_in": 4, "dropped": 2}
+    seen, o2 = N.observe_rows(df, "t_rows")
+    seen.write.format("noop").mode("overwrite").save()
+    assert o2.get["rows"] == 4
+
+
+def test_rater_column_check(spark, capsys):
+    df = spark.createDataFrame([(1, "TRUE", "")], "ID long, `Aのフラグ` string, `Bのフラグ` string")
+    assert N.check_rater_columns(df, "のフラグ", ["A", "B"]) == ["Aのフラグ", "Bのフラグ"]
+    assert N.check_rater_columns(df, "のフラグ", ["A", "B", "C"]) == ["Aのフラグ", "Bのフラグ"]
+    assert "warning" in capsys.readouterr().out
