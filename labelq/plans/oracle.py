@@ -572,6 +572,10 @@ def build() -> dict[str, str]:
         coalesce({quadrant('label', 'moderation_flagged')} = 'A', false) AS is_ambiguous_candidate,
         coalesce({quadrant('label', 'moderation_flagged')} = 'B', false) AS is_contextual_safety
       FROM {_moderation_score()}"""
+    r = "response"
+    q["result_tree"] = f"""SELECT doc_id, source AS model, 'classification' AS method, '{R.MODEL_PROMPT}' AS prompt,
+        {verdict(r)} AS pred FROM {RESPONSES}
+      UNION ALL SELECT doc_id, source, 'stepwise', '{R.MODEL_PROMPT}', {stepwise(r)} FROM {RESPONSES}"""
     return q
 
 

@@ -325,6 +325,23 @@ def _reevaluated(spark, sf) -> DataFrame:
     return out.where(F.col("pred").isNotNull())
 
 
+def result_tree(spark, sf):
+    """K5 + S6 round trip: predictions written as a model= / method= / prompt= CSV tree under
+    the shared checkpoint folder, read back with partition discovery and a method filter
+    (partition pruning)."""
+    from labelq.session import scratch_path
+    from labelq.sources.io import write_csv
+    from labelq.sources.tree import read_partitioned_results
+
+    runs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"pred_{m}").alias("pred")) for m in METHODS])
+    long = _predictions(spark, sf).select("doc_id", "model", F.lit(R.MODEL_PROMPT).alias("prompt"), F.inline(runs))
+    root = scratch_path(spark, "result_tree", sf.rstrip("/").rsplit("/", 1)[-1])
+    write_csv(long, root, partition_by=["model", "method", "prompt"])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pred", T.BooleanType())])
+    back = read_partitioned_results(spark, root, schema, methods=["classification", "stepwise"])
+    return back.select("doc_id", "model", "method", "prompt", "pred")
+
+
 def _confusion_with_unmatched(df: DataFrame, keys: list[str]) -> DataFrame:
     # unmatched truth goes to a count and out of the matrix (null rule 5, documented deviation)
     matched = F.col("truth").isNotNull()
@@ -669,4 +686,5 @@ QUERIES: dict[str, Query] = {
     "extract_entities": extract_entities_q,
     "batch_score": batch_score_q,
     "batch_score_failures": batch_score_failures,
+    "result_tree": result_tree,
 }

@@ -51,3 +51,23 @@ def read_result_tree(
         if values:
             out = out.where(F.col(col).isin(*values))
     return out.drop("_file")
+
+
+def read_partitioned_results(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    models: list[str] | None = None,
+    methods: list[str] | None = None,
+    prompts: list[str] | None = None,
+) -> DataFrame:
+    """S6 over a Spark-written tree ``model=/method=/prompt=``: native partition discovery,
+    and the arguments become partition filters (only matching folders are listed and read)."""
+    part_schema = T.StructType(
+        list(schema.fields) + [T.StructField(c, T.StringType()) for c in ("model", "method", "prompt")]
+    )
+    df = spark.read.options(**CSV_READ).schema(part_schema).csv(root)
+    for col, values in (("model", models), ("method", methods), ("prompt", prompts)):
+        if values:
+            df = df.where(F.col(col).isin(*values))
+    return df
