@@ -7,9 +7,11 @@ the setting is absent, point it at a fresh scratch folder.
 
 from __future__ import annotations
 
-import os
+import sys
 import tempfile
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -40,40 +42,29 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and derived files.
-
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (local tests,
-    the bench) a fresh folder under the system temp dir is created and registered.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for lineage cuts and derived files: ``spark.checkpoint.dir`` or the folder given to
+    ``setCheckpointDir``. Only a local-mode session without either (tests, the bench) gets a fresh
+    folder of this machine; on a cluster an unset folder is an error."""
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="labelq-ckpt-")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = "file://" + tempfile.mkdtemp(prefix="labelq-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (never a machine-local folder on a cluster)."""
-    return os.path.join(checkpoint_dir(spark), *parts)
+    """A new path under the shared checkpoint folder; no two calls share one."""
+    return "/".join([checkpoint_dir(spark).rstrip("/"), f"labelq-{uuid.uuid4().hex}", *parts])
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``labelq`` importable in Python workers (``mapInPandas`` operators).
-
-    Zips the package once per session into the shared checkpoint folder and registers it
-    with ``addPyFile``, which distributes it to every executor."""
-    if spark.conf.get("labelq.shipped", "false") == "true":
-        return
-    import shutil
-
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(checkpoint_dir(spark), f"labelq-pkg-{os.getpid()}")
-    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="labelq")
-    spark.sparkContext.addPyFile(archive)
-    spark.conf.set("labelq.shipped", "true")
+    """Send ``labelq`` functions to Python workers by value, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules["labelq"])
 
 
 def materialize(df, name: str):
@@ -83,5 +74,5 @@ def materialize(df, name: str):
     re-run of the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, "materialized", name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
