@@ -33,6 +33,8 @@ from labelq.llm.common import materialize, read
 from labelq.llm.graph import components
 
 SKETCH_BITS = 17
+#: Bits of the bitmap of wanted ids.
+ID_BITS = 24
 ORDERS = 3
 
 
@@ -89,65 +91,83 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _order_seeds() -> np.ndarray:
+    return np.random.default_rng(5).integers(1, 2**63, ORDERS, dtype=np.uint64)
+
+
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, first (prefix under the frequency order) and rest (prefixes
-    under the other orders) of every row."""
+    """doc_id, n_shingles, digest of the set, first (prefix under the frequency order) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    schema = "doc_id long, n_shingles long, digest binary, first array<long>, rest array<array<long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        shingles, counts = Shingler(n), shared.value
+        shingles, counts, seed = Shingler(n), shared.value, _order_seeds()[0]
         # A token is hot when its bucket holds clearly more than an even share; only hot tokens are ordered by count.
         hot = 4 * max(int(counts.sum()) >> SKETCH_BITS, 1)
-        seeds = np.random.default_rng(5).integers(1, 2**63, ORDERS, dtype=np.uint64)
         for batch in batches:
             for lo, hi in slices(batch.num_rows, 256):
                 part = batch.slice(lo, hi - lo)
-                sizes, digests, first, rest = [], [], [], []
+                sizes, digests, first = [], [], []
                 for s in shingles(part.column(1)):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    k = prefix_length(len(s), percent)
                     df = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    ranks = [mix(s ^ seed) for seed in seeds]
-                    order = np.lexsort((ranks[0], np.where(df >= hot, df, 0)))
-                    first.append(s[order[:k]].view(np.int64))
-                    rest.append([s[np.argpartition(r, k - 1)[:k]].view(np.int64) if k else s.view(np.int64) for r in ranks[1:]])
+                    order = np.lexsort((mix(s ^ seed), np.where(df >= hot, df, 0)))
+                    first.append(s[order[:prefix_length(len(s), percent)]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.list_(pa.int64())),
-                     pa.array(rest, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_shingles", "digest", "first", "rest"])
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, first array<long>")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (a < b): prefix tests under the other orders, then whole sets."""
-    rest = reps.select("doc_id", "rest")
-    left = pairs.join(rest.select(F.col("doc_id").alias("a"), F.col("rest").alias("_ra")), "a")
-    both = left.join(rest.select(F.col("doc_id").alias("b"), F.col("rest").alias("_rb")), "b")
-    for k in range(ORDERS - 1):
-        both = both.where(F.arrays_overlap(F.col("_ra")[k], F.col("_rb")[k]))
-    pairs = materialize(both.select("a", "b"), "ngram-candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, s (whole set), rest (prefixes under the hash orders) of the documents in ``wanted`` (doc_id) and a few more.
+
+    The ids are sent as a bitmap of their hashes with 2 ** ID_BITS bits, whatever their number, so the
+    texts are filtered where they are scanned and are not shuffled; a fuller bitmap only lets more pass."""
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    ored = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (ID_BITS - 6), np.int64)
+    bitmap[ored["w"].to_numpy()] = ored["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
+        shingles, bits, seeds = Shingler(n), shared.value, _order_seeds()
         for batch in batches:
+            p = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(((bits[p >> 6] >> (p & 63)) & 1).astype(bool)))
             for lo, hi in slices(batch.num_rows, 256):
                 part = batch.slice(lo, hi - lo)
-                sets = [s.view(np.int64) for s in shingles(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+                sets, rest = [], []
+                for s in shingles(part.column(1)):
+                    k = prefix_length(len(s), percent)
+                    sets.append(s.view(np.int64))
+                    rest.append([s[np.argpartition(mix(s ^ x), k - 1)[:k]].view(np.int64) if k else sets[-1] for x in seeds[1:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.list_(pa.int64())))],
+                                                 names=["doc_id", "s", "rest"])
+
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("p"))
+    return rows.mapInArrow(run, "doc_id long, s array<long>, rest array<array<long>>")
+
 
-    # One row per doc_id: repeated ids are their representative's row by construction of ``reps``.
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
-    sets = materialize(sets, "ngram-sets")
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (a < b): prefix tests under the other orders, then whole sets."""
+    pairs = materialize(pairs, "ngram-pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = materialize(whole_sets(docs, wanted, n, percent), "ngram-sets")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("rest").alias("_ra")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("rest").alias("_rb")), "b")
+    for k in range(ORDERS - 1):
+        both = both.where(F.arrays_overlap(F.col("_ra")[k], F.col("_rb")[k]))
+    pairs = materialize(both.select("a", "b").distinct(), "ngram-candidates")
     found = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("_sa")), "a") \
         .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("_sb")), "b")
     common = F.size(F.array_intersect("_sa", "_sb"))
     return materialize(found.select("a", "b", common.alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_n"))
-                       .where(100 * F.col("_i") >= percent * (F.col("_n") - F.col("_i"))).select("a", "b"), "ngram-links")
+                       .where(100 * F.col("_i") >= percent * (F.col("_n") - F.col("_i"))).select("a", "b").distinct(), "ngram-links")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -159,7 +179,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = known.join(classes, (known["doc_id"] == classes["rep"]) & (known["digest"] == classes["digest"]), "left_semi")
-    reps = materialize(reps.select("doc_id", "n_shingles", "first", "rest"), "ngram-reps")
+    reps = materialize(reps.select("doc_id", "n_shingles", "first"), "ngram-reps")
 
     postings = reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("first").alias("token"))
     groups = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "size")).alias("_p")).where("_n > 1")
@@ -171,13 +191,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
     star = postings.where((F.col("doc_id") != F.col("_p.doc_id")) & fits("size", "_p.size")) \
         .select(F.col("_p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(star, reps, docs, n, percent)
+    links = _verified(star, docs, n, percent)
     comp = components(links)
 
     # Tokens that still join different components: texts outside the token's largest component meet all of its texts.
     placed = postings.join(comp, postings["doc_id"] == comp["node"], "left") \
         .select("token", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
-    placed = materialize(placed, "ngram-placed")
     parts = placed.groupBy("token", "comp").agg(F.count("*").alias("n"))
     top = parts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("t"), F.count("*").alias("k")).where("k > 1")
     mixed = placed.join(top.select("token", F.col("t.comp").alias("top")), "token")
@@ -186,7 +205,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     cross = minor.join(mixed.drop("top"), "token").where((F.col("xc") != F.col("comp")) & fits("xs", "size")) \
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(cross, reps, docs, n, percent)
+    more = _verified(cross, docs, n, percent)
 
     # Rows of one class link with their representative; a doc_id with several texts joins their classes.
     same = known.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
