@@ -4,8 +4,8 @@ A text is the set of 64-bit hashes of its n-word shingles.  Texts with equal set
 smallest doc_id stands for it.  If two sets reach the threshold, their prefixes (the first
 n - ceil(t n) + 1 tokens) share a token under every global order, so a pair must pass the prefix test
 under all ``ORDERS`` orders before it is verified on the whole sets.  The first order puts frequent tokens
-last (frequencies of all shingles, kept in 2 ** SKETCH_BITS hash buckets, a table of fixed size); the others
-are seeded hash orders.
+last (frequencies of all shingles, kept in 2 ** SKETCH_BITS hash buckets of one byte, a table of fixed size); the
+others are seeded hash orders.
 
 Candidates are made in two rounds and never as all pairs of a group.  First each token's texts are compared
 with the token's smallest text only; verified links contract into components.  Then only pairs of
@@ -32,7 +32,8 @@ from labelq.llm.bytesops import WordHasher, byte_values, mix, slices, text_bytes
 from labelq.llm.common import materialize, read
 from labelq.llm.graph import components
 
-SKETCH_BITS = 17
+SKETCH_BITS = 22
+SKETCH_PARTS = 64
 #: Bits of the bitmap of wanted ids.
 ID_BITS = 24
 ORDERS = 3
@@ -69,21 +70,57 @@ class Shingler:
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Numbers of (text, shingle) pairs per hash bucket over all of ``docs``."""
-    size = 1 << SKETCH_BITS
+    """Rough frequency of the shingles of every hash bucket over all of ``docs``: eight steps per doubling, one byte each.
+
+    A task sends its counts as SKETCH_PARTS packed pieces; they are added in two steps, so a piece never
+    gathers more than a share of the tasks.  The driver receives 2 ** SKETCH_BITS bytes whatever the input."""
+    size, own = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingler(n), np.zeros(size, np.int64)
+        import os
+
+        shingles, total = Shingler(n), np.zeros(size, np.uint32)
         for batch in batches:
             for lo, hi in slices(batch.num_rows, 256):
                 sets = shingles(batch.column(0).slice(lo, hi - lo))
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+                at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[at] += count.astype(np.uint32)
+        salt = int.from_bytes(os.urandom(2)) % 64
+        # Small counts as bytes compress well; the few larger ones follow apart.
+        for part in range(SKETCH_PARTS if total.any() else 0):
+            c = total[part * own:(part + 1) * own]
+            big = np.flatnonzero(c > 255)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([salt]), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()),
+                                              pa.array([big.astype(np.int64).tobytes()], pa.binary()), pa.array([c[big].astype(np.int64).tobytes()], pa.binary())],
+                                             names=["part", "salt", "low", "at", "more"])
+
+    def added(pdf):
+        total = np.zeros(own, np.int64)
+        for low, at, more in zip(pdf["low"], pdf["at"], pdf["more"], strict=True):
+            c = np.frombuffer(low, np.uint8).astype(np.int64)
+            c[np.frombuffer(at, np.int64)] = np.frombuffer(more, np.int64)
+            total += c
+        return total
+
+    def some(pdf):
+        import pandas as pd
+
+        total = added(pdf)
+        big = np.flatnonzero(total > 255)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [np.minimum(total, 255).astype(np.uint8).tobytes()],
+                             "at": [big.astype(np.int64).tobytes()], "more": [total[big].tobytes()]})
+
+    def all_(pdf):
+        import pandas as pd
+
+        steps = np.minimum(np.round(8 * np.log2(np.maximum(added(pdf), 1))), 255).astype(np.uint8)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [steps.tobytes()]})
+
+    rows = docs.select("text").mapInArrow(run, "part long, salt long, low binary, at binary, more binary")
+    rows = rows.groupBy("part", "salt").applyInPandas(some, "part long, low binary, at binary, more binary")
+    out = np.zeros(size, np.uint8)
+    for part, steps in rows.groupBy("part").applyInPandas(all_, "part long, low binary").toLocalIterator():
+        out[part * own:(part + 1) * own] = np.frombuffer(steps, np.uint8)
     return out
 
 
@@ -103,8 +140,6 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         import hashlib
 
         shingles, counts, seed = Shingler(n), shared.value, _order_seeds()[0]
-        # A token is hot when its bucket holds clearly more than an even share; only hot tokens are ordered by count.
-        hot = 4 * max(int(counts.sum()) >> SKETCH_BITS, 1)
         for batch in batches:
             for lo, hi in slices(batch.num_rows, 256):
                 part = batch.slice(lo, hi - lo)
@@ -113,7 +148,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     df = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.lexsort((mix(s ^ seed), np.where(df >= hot, df, 0)))
+                    order = np.lexsort((mix(s ^ seed), df))
                     first.append(s[order[:prefix_length(len(s), percent)]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
