@@ -4,13 +4,15 @@ A text is the set of 64-bit hashes of its n-word shingles.  Texts with equal set
 smallest doc_id stands for it.  If two sets reach the threshold, their prefixes (the first
 n - ceil(t n) + 1 tokens) share a token under every global order, so a pair must pass the prefix test
 under all ``ORDERS`` orders before it is verified on the whole sets.  The first order puts frequent tokens
-last (frequencies of all shingles, kept in 2 ** SKETCH_BITS hash buckets of one byte, a table of fixed size); the
+last (frequencies of all shingles, kept in hash buckets of one byte, at most 2 ** MAX_SKETCH_BITS of them); the
 others are seeded hash orders.
 
-Candidates are made in two rounds and never as all pairs of a group.  First each token's texts are compared
+Candidates are never made as all pairs of a group.  First each token's texts are compared
 with the token's smallest text only; verified links contract into components.  Then only pairs of
 texts in different components are made, between the texts outside a token's largest component and all its
-texts: a large group of near copies is by then one component and makes no pairs.  Pairs inside
+texts: a large group of near copies is by then one component and makes no pairs.  A shared token makes
+a pair only if its positions in both orders leave room for the overlap the threshold needs (the pair's first
+shared token does), which ends groups of copies that differ a little too much.  Pairs inside
 a component cannot change the components, so nothing is lost.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than n words is
@@ -32,7 +34,9 @@ from labelq.llm.bytesops import WordHasher, byte_values, mix, slices, text_bytes
 from labelq.llm.common import materialize, read
 from labelq.llm.graph import components
 
-SKETCH_BITS = 22
+#: Text bytes per bucket of the frequency sketch, and its largest size (2 ** 27 buckets of one byte).
+BUCKET_BYTES = 32
+MAX_SKETCH_BITS = 27
 SKETCH_PARTS = 64
 #: Bits of the bitmap of wanted ids.
 ID_BITS = 24
@@ -69,12 +73,18 @@ class Shingler:
         return out
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of the sketch: about one bucket per BUCKET_BYTES of text, at most MAX_SKETCH_BITS."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max((total // BUCKET_BYTES).bit_length(), 16), MAX_SKETCH_BITS)
+
+
+def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Rough frequency of the shingles of every hash bucket over all of ``docs``: eight steps per doubling, one byte each.
 
     A task sends its counts as SKETCH_PARTS packed pieces; they are added in two steps, so a piece never
-    gathers more than a share of the tasks.  The driver receives 2 ** SKETCH_BITS bytes whatever the input."""
-    size, own = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_PARTS
+    gathers more than a share of the tasks.  The driver receives 2 ** ``bits`` bytes."""
+    size, own = 1 << bits, (1 << bits) // SKETCH_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -83,7 +93,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for lo, hi in slices(batch.num_rows, 256):
                 sets = shingles(batch.column(0).slice(lo, hi - lo))
-                at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[at] += count.astype(np.uint32)
         salt = int.from_bytes(os.urandom(2)) % 64
         # Small counts as bytes compress well; the few larger ones follow apart.
@@ -134,7 +144,8 @@ def _order_seeds() -> np.ndarray:
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, first (prefix under the frequency order) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
+    bits = sketch_bits(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, n, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -147,7 +158,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 for s in shingles(part.column(1)):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    df = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    df = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
                     order = np.lexsort((mix(s ^ seed), df))
                     first.append(s[order[:prefix_length(len(s), percent)]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +201,6 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> Data
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links among ``pairs`` (a < b): prefix tests under the other orders, then whole sets."""
-    pairs = materialize(pairs, "ngram-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialize(whole_sets(docs, wanted, n, percent), "ngram-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("rest").alias("_ra")), "a")
@@ -216,35 +226,37 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     reps = known.join(classes, (known["doc_id"] == classes["rep"]) & (known["digest"] == classes["digest"]), "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "first"), "ngram-reps")
 
-    postings = reps.select("doc_id", F.col("n_shingles").alias("size"), F.explode("first").alias("token"))
-    groups = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "size")).alias("_p")).where("_n > 1")
-    postings = materialize(postings.join(groups, "token").select("token", "doc_id", "size", "_p"), "ngram-postings")
+    postings = reps.select("doc_id", F.col("n_shingles").alias("size"), F.posexplode("first").alias("at", "token"))
+    groups = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "size", "at")).alias("_p")).where("_n > 1")
+    postings = materialize(postings.join(groups, "token").select("token", "doc_id", "size", "at", "_p"), "ngram-postings")
 
-    def fits(a: str, b: str):
-        # Sets of very different sizes cannot reach the threshold.
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    def fits(size: str, at: str, other: str, other_at: str):
+        # Positions before the first shared token match nothing: the rest of the shorter text bounds the overlap.
+        room = F.least(F.col(size) - F.col(at), F.col(other) - F.col(other_at))
+        return (100 + percent) * room >= percent * (F.col(size) + F.col(other))
 
-    star = postings.where((F.col("doc_id") != F.col("_p.doc_id")) & fits("size", "_p.size")) \
-        .select(F.col("_p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = postings.where((F.col("doc_id") != F.col("_p.doc_id")) & fits("size", "at", "_p.size", "_p.at")) \
+        .select(F.least("_p.doc_id", "doc_id").alias("a"), F.greatest("_p.doc_id", "doc_id").alias("b")).distinct()
+    star = materialize(star, "ngram-star")
     links = _verified(star, docs, n, percent)
-    comp = components(links)
+    comp = materialize(components(links), "ngram-components")
 
     # Tokens that still join different components: texts outside the token's largest component meet all of its texts.
     placed = postings.join(comp, postings["doc_id"] == comp["node"], "left") \
-        .select("token", "doc_id", "size", F.coalesce("component", "doc_id").alias("comp"))
+        .select("token", "doc_id", "size", "at", F.coalesce("component", "doc_id").alias("comp"))
     parts = placed.groupBy("token", "comp").agg(F.count("*").alias("n"))
     top = parts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("t"), F.count("*").alias("k")).where("k > 1")
-    mixed = placed.join(top.select("token", F.col("t.comp").alias("top")), "token")
-    mixed = materialize(mixed, "ngram-mixed")
-    minor = mixed.where("comp <> top").select("token", F.col("doc_id").alias("x"), F.col("size").alias("xs"), F.col("comp").alias("xc"))
-    cross = minor.join(mixed.drop("top"), "token").where((F.col("xc") != F.col("comp")) & fits("xs", "size")) \
+    mixed = materialize(placed.join(top.select("token", F.col("t.comp").alias("top")), "token"), "ngram-mixed")
+    minor = mixed.where("comp <> top").select("token", F.col("doc_id").alias("x"), F.col("size").alias("xs"), F.col("at").alias("xa"),
+                                              F.col("comp").alias("xc"))
+    cross = minor.join(mixed.drop("top"), "token").where((F.col("xc") != F.col("comp")) & fits("xs", "xa", "size", "at")) \
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(cross, docs, n, percent)
+    cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "ngram-cross")
+    links = links.unionByName(_verified(cross, docs, n, percent))
 
     # Rows of one class link with their representative; a doc_id with several texts joins their classes.
     same = known.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comp = components(links.unionByName(more).unionByName(same.distinct()))
+    comp = components(links.unionByName(same.distinct()))
     out = rows.join(comp, rows["doc_id"] == comp["node"], "left")
     return out.select(rows["doc_id"], "n_shingles", F.coalesce("component", rows["doc_id"]).alias("component_id"))
 
