@@ -1,8 +1,8 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts and unlabelled texts train logistic classifiers in numpy.  The unlabelled risk
-holds positives in the share of the class prior; their expected part is taken out, and when the
-rest, the risk of the negatives, turns below zero the step goes the other way (non-negative estimator).  Texts
+Confirmed toxic texts and unlabelled texts train linear classifiers with the sigmoid loss in numpy.  The
+unlabelled risk holds positives in the share of the class prior; their expected part is taken out, and while the
+rest, the risk of the negatives, is below zero it counts as zero (non-negative estimator).  Texts
 are sets of 64-bit word hashes (letters only, A-Z folded); the vocabulary keeps words that are clearly more
 frequent in the confirmed texts.  ``MEMBERS`` classifiers, each fitted to its own share of the rows, are
 averaged.
@@ -80,14 +80,15 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     for step in range(1, steps + 1):
         g = bias + np.bincount(row, w[term], minlength=len(rows))
         s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        low = np.logaddexp(0, g)  # loss of calling a row positive when it is not
-        negative = low[~is_p].mean() - prior * low[is_p].mean() if n_u and n_p else 0.0
-        from_p = np.where(is_p, prior * (s - 1) / max(n_p, 1), 0.0)
-        from_n = np.where(is_p, -prior * s / max(n_p, 1), s / max(n_u, 1))
-        pull = from_p + from_n if negative >= 0 else -from_n
+        # Sigmoid loss: a row called positive costs s, one called negative 1 - s.
+        negative = s[~is_p].mean() - prior * s[is_p].mean() if n_u and n_p else 0.0
+        slope = s * (1 - s)
+        from_p = np.where(is_p, -prior * slope / max(n_p, 1), 0.0)
+        from_n = np.where(is_p, -prior * slope / max(n_p, 1), slope / max(n_u, 1))
+        pull = from_p + from_n if negative >= 0 else from_p
         grad = np.append(np.bincount(term, pull[row], minlength=len(keep)) + decay * w, pull.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
     return vocabulary[keep], w, float(bias)
 
