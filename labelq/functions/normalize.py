@@ -69,7 +69,7 @@ def stem_name(c: Column | str) -> Column:
     """``splitext(basename(path))[0]`` for a prompt path."""
     base = F.substring_index(col_of(c), "/", -1)
     return F.when(
-        F.locate(".", F.substring(base, 2, 1 << 30)) > 0,
+        F.locate(".", F.substr(base, F.lit(2))) > 0,
         F.regexp_extract(base, r"^(.+)\.[^.]*$", 1),
     ).otherwise(base)
 

@@ -62,19 +62,18 @@ def parse_stepwise(response: Column | str) -> Column:
 def parse_score(response: Column | str, lo: int = 0, hi: int = 10) -> Column:
     """first run of decimal digits (Unicode digits too), clamped to [lo, hi]; else NULL.
 
-    Runs longer than two significant digits are above ``hi`` whatever their value, so they
-    clamp without an integer cast that could overflow.
+    A run that does not fit 38 digits is above any ``hi`` and clamps to it.
     """
     # \p{Nd} is the Unicode decimal-digit category, Python's \d; only the first run is
     # translated to ASCII, not the whole text
     digits = ascii_digits(F.regexp_extract(col_of(response), r"(\p{Nd}+)", 1))
     significant = F.ltrim(digits, F.lit("0"))
-    value = F.when(significant == "", F.lit(0)).otherwise(significant.try_cast("int"))
+    value = F.when(significant == "", F.lit(0)).otherwise(significant.try_cast("decimal(38,0)"))
     clamped = F.least(F.greatest(value, F.lit(lo)), F.lit(hi))
     return (
         F.when(F.coalesce(digits, F.lit("")) == "", F.lit(None).cast("int"))
-        .when(F.length(significant) > 2, F.lit(hi))
-        .otherwise(clamped)
+        .when(value.isNull(), F.lit(hi))
+        .otherwise(clamped.cast("int"))
     )
 
 

@@ -10,6 +10,8 @@ bucket finishes the id. Equal to a global ``row_number`` over the same order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ def hex_bucket(hex_col: Column | str, digits: int = HEX_BUCKET_DIGITS) -> Column
 def range_bucket(key: Column | str, width: int) -> Column:
     """Order-preserving bucket of a numeric key: floor(key / width)."""
     c = F.col(key) if isinstance(key, str) else key
-    return F.floor(c / F.lit(width)).cast("bigint")
+    whole = c.cast("bigint")
+    return ((whole - F.pmod(whole, F.lit(width))).cast("decimal(20,0)") / F.lit(width)).cast("bigint")
 
 
 def dense_ids(
@@ -42,7 +45,7 @@ def dense_ids(
 
     ``bucket`` must be monotone in that order (one column, or a tuple compared
     lexicographically). Bucket count bounds the offsets table, which is summed in one
-    partition and joined back on the bucket the rows are already partitioned by.
+    partition and joined back on the bucket, null-safe, so rows with a NULL key keep their place.
     """
     buckets = [bucket] if isinstance(bucket, Column) else list(bucket)
     bnames = [f"_b{i}" for i in range(len(buckets))]
@@ -52,18 +55,21 @@ def dense_ids(
     offsets = counts.select(*bnames, F.coalesce(F.sum("_cnt").over(prefix), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*bnames).orderBy(*order_cols)
     numbered = x.withColumn("_rn", F.row_number().over(within))
+    keys = {b: f"{b}_of" for b in bnames}
+    same = reduce(and_, [numbered[b].eqNullSafe(F.col(k)) for b, k in keys.items()])
     return (
-        numbered.join(offsets, bnames)
+        numbered.join(offsets.withColumnsRenamed(keys), same)
+        .drop(*keys.values())
         .withColumn(id_col, (F.col("_off") + F.col("_rn") + F.lit(start - 1)).cast("bigint"))
         .drop(*bnames, "_rn", "_off")
     )
 
 
 def _pair_window(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """Rows hash-partitioned once by ``pair_no = floor((id + 1) / 2)``; each row learns its
+    """Rows hash-partitioned once by ``pair_no = (id + 1) >> 1`` (integers, exact for any id); each row learns its
     group size and the group's smallest and largest id. ``_ok`` is false for a group that is
     not a valid pair (more than two rows, or two equal ids)."""
-    pno = F.floor((F.col(id_col) + 1) / 2).cast("bigint")
+    pno = F.shiftright(F.col(id_col).cast("bigint") + 1, 1)
     w = Window.partitionBy("_pno")
     x = df.select(F.col(id_col), *[F.col(c) for c in cols]).withColumn("_pno", pno)
     x = x.withColumns(
@@ -72,9 +78,10 @@ def _pair_window(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     return x.withColumn("_ok", (F.col("_n") == 1) | ((F.col("_n") == 2) & (F.col("_lo") < F.col("_hi"))))
 
 
-def _checked(value, id_col: str):
-    """The value, or a run-time error on a duplicate id (the reference raises as well)."""
-    return F.when(F.col("_ok"), value).otherwise(F.raise_error(F.lit(f"duplicate {id_col} in pair lookup")))
+def _checked(condition, id_col: str):
+    """The filter condition, or a run-time error on a duplicate id. As part of a filter it stays in
+    the plan whatever columns are selected."""
+    return F.when(F.col("_ok"), condition).otherwise(F.raise_error(F.lit(f"duplicate {id_col} in pair lookup")))
 
 
 def pair_join(df: DataFrame, id_col: str, cols: Sequence[str], prefix: str = "pair_") -> DataFrame:
@@ -90,9 +97,9 @@ def pair_join(df: DataFrame, id_col: str, cols: Sequence[str], prefix: str = "pa
         f"{prefix}{c}": F.when(is_lo, F.max_by(c, id_col).over(w)).otherwise(F.min_by(c, id_col).over(w))
         for c in cols
     }
-    pid = _checked(F.when(is_lo, F.col("_hi")).otherwise(F.col("_lo")), id_col)
+    pid = F.when(is_lo, F.col("_hi")).otherwise(F.col("_lo"))
     return (
-        x.where(F.col("_n") >= 2)
+        x.where(_checked(F.col("_n") >= 2, id_col))
         .withColumns(partner)
         .select(F.col(id_col), *[F.col(c) for c in cols], pid.alias(f"{prefix}id"), *partner)
     )
@@ -101,6 +108,4 @@ def pair_join(df: DataFrame, id_col: str, cols: Sequence[str], prefix: str = "pa
 def pair_missing(df: DataFrame, id_col: str) -> DataFrame:
     """J5 report: rows whose partner id is absent (same single shuffle, no join)."""
     x = _pair_window(df, id_col, [])
-    return x.where((F.col("_n") == 1) | ~F.col("_ok")).select(
-        F.col(id_col), _checked(partner_id(F.col(id_col)), id_col).alias("pair_id")
-    )
+    return x.where(_checked(F.col("_n") == 1, id_col)).select(F.col(id_col), partner_id(F.col(id_col)).alias("pair_id"))

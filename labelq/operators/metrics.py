@@ -103,15 +103,13 @@ def score_crosstab(
 ) -> DataFrame:
     """Per group, one row per score lo..hi (all present), False / True counts, Total,
     True_Ratio (NULL when Total = 0). Rows with a NULL score are left out (null rule 7)."""
-    scored = df.where(F.col(score).isNotNull())
-    counts = scored.groupBy(*group_cols, score).agg(
-        F.count_if(~F.col(truth)).alias("False"),
-        F.count_if(F.col(truth)).alias("True"),
+    # one scan and one partial aggregate per group: two counts per score, turned into rows
+    grid = range(lo, hi + 1)
+    counts = df.groupBy(*group_cols).agg(
+        F.array(*[F.struct(F.lit(s).alias(score), F.count_if((F.col(score) == s) & ~F.col(truth)).alias("False"),
+                           F.count_if((F.col(score) == s) & F.col(truth)).alias("True")) for s in grid]).alias("_rows")
     )
-    # every score of every group: generate the grid from the (small) group list, no join
-    groups = counts.select(*group_cols).distinct()
-    grid = groups.withColumn(score, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-    out = grid.join(counts, [*group_cols, score], "left").fillna(0, subset=["False", "True"])
+    out = counts.select(*group_cols, F.inline("_rows"))
     total = F.col("False") + F.col("True")
     return out.withColumns({"Total": total, "True_Ratio": ratio(F.col("True"), total)})
 

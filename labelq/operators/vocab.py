@@ -119,14 +119,13 @@ def extract_entities(
     text_col: str,
     extractor: Callable[[str], list] | None = None,
     tag_to_slot: dict[str, str] | None = None,
-    truncate_chars: int | None = None,
     excluded: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Run an entity extractor per text inside ``mapInPandas``; emit (id, tag, term).
 
     ``extractor(text) -> [(tag, term)]``; a row whose extraction raises is skipped. Tags
-    map to slots through ``tag_to_slot`` (F17); unmapped tags are dropped. ``truncate_chars``
-    mirrors the model-length cut of one extractor (F18); by default whole texts are used.
+    map to slots through ``tag_to_slot`` (F17); unmapped tags are dropped. Whole texts
+    are always used.
     """
     ship_package(df.sparkSession)
     if extractor is None:
@@ -143,8 +142,6 @@ def extract_entities(
             for i, text in zip(pdf[id_col], pdf[text_col]):
                 if text is None:
                     continue
-                if truncate_chars is not None:
-                    text = text[:truncate_chars]
                 try:
                     found = extractor(text)
                 except Exception:  # noqa: BLE001 - per-row errors are skipped

@@ -406,9 +406,9 @@ def build() -> dict[str, str]:
     )
     q["moderation_enrich"] = enrich
     gate_rows = f"""(SELECT r.source, e.original_label = 1 AND e.moderation_flagged AS gated,
-        coalesce(v.gt_majority, false) AS gt_is_ambiguous,
+        v.gt_majority AS gt_is_ambiguous,
         CASE WHEN e.original_label = 1 AND e.moderation_flagged THEN false ELSE {verdict('r.response')} END AS pred_is_ambiguous
-      FROM {RESPONSES} r JOIN ({enrich}) e ON r.doc_id = e.doc_id LEFT JOIN {VOTES_FULL} v ON r.doc_id = v.doc_id)"""
+      FROM {RESPONSES} r JOIN ({enrich}) e ON r.doc_id = e.doc_id JOIN {VOTES_FULL} v ON r.doc_id = v.doc_id)"""
     q["gate_analysis"] = f"""SELECT source, filtered_total, filtered_ambiguous,
         {ratio0('filtered_total - filtered_ambiguous', 'filtered_total')} AS filter_success_rate,
         {ratio0('filtered_ambiguous', 'filtered_total')} AS filter_risk_rate, tp, fn, fp, tn, n, {METRIC_COLS}

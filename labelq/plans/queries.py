@@ -93,8 +93,8 @@ def gate_analysis(spark, sf):
         "source",
         gated.alias("gated"),
         F.when(gated, F.lit(False)).otherwise(P.parse_verdict(response)).alias("pred_is_ambiguous"),
-    ).join(truth, "doc_id", "left")
-    rows = rows.withColumn("gt_is_ambiguous", F.coalesce(F.col("gt_majority"), F.lit(False)))
+    ).join(truth, "doc_id")  # items without a truth are in no denominator
+    rows = rows.withColumnRenamed("gt_majority", "gt_is_ambiguous")
     agg = rows.groupBy("source").agg(
         *M.gate_aggs("gated", "gt_is_ambiguous"), *M.confusion_aggs("gt_is_ambiguous", "pred_is_ambiguous")
     )

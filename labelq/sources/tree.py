@@ -15,7 +15,7 @@ from labelq.sources.io import CSV_READ
 
 # The result file name per method.
 RESULT_FILE = {
-    "classification": "experiment_results.csv",
+    "classification": "results.csv",
     "scoring": "scoring_results.csv",
     "stepwise": "stepwise_results.csv",
     "fewshot": "fewshot_results.csv",

@@ -112,3 +112,9 @@ def test_gate_analysis(spark):
     assert (r.filtered_total, r.filtered_ambiguous, r.filter_success_rate, r.filter_risk_rate) == (2, 1, 0.5, 0.5)
     r0 = M.gate_analysis(df.where("NOT g"), [], "g", "t").first()
     assert (r0.filter_success_rate, r0.filter_risk_rate) == (0.0, 0.0)
+
+
+def test_crosstab_keeps_a_run_without_scores(spark):
+    df = spark.createDataFrame([("r", None, True), ("s", 3, True)], "run string, score int, truth boolean")
+    out = M.score_crosstab(df, ["run"], "score", "truth").collect()
+    assert len(out) == 22 and sum(r["True"] for r in out) == 1

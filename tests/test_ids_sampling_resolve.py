@@ -103,3 +103,19 @@ def test_order_key_matches_python_md5(spark):
     df = spark.createDataFrame([(7,)], "k long")
     assert df.select(order_key("k")).first()[0] == hashlib.md5(b"7-42").hexdigest()
     assert df.select(hex_bucket(order_key("k"))).first()[0] == int(hashlib.md5(b"7-42").hexdigest()[:4], 16)
+
+
+def test_dense_ids_keep_null_keys_without_holes(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), (None, 4)], "lang string, doc_id long")
+    out = dense_ids(df, ["lang", "doc_id"], F.col("lang")).collect()
+    assert [(r["doc_id"], r["ID"]) for r in sorted(out, key=lambda r: r["ID"])] == [(2, 1), (4, 2), (1, 3), (3, 4)]
+
+
+def test_pair_join_large_ids_and_unprunable_duplicate_check(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big + i, f"t{i}") for i in range(6)], "doc_id long, sent string")
+    got = {r["doc_id"] - big: r["pair_sent"] for r in pair_join(df, "doc_id", ["sent"]).collect()}
+    assert got == {0: "t1", 1: "t0", 2: "t3", 3: "t2", 4: "t5", 5: "t4"}
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, sent string")
+    with pytest.raises(Exception, match="duplicate doc_id"):
+        pair_join(twice, "doc_id", ["sent"]).select("doc_id", "pair_sent").collect()

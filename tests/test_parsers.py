@@ -68,3 +68,8 @@ def test_strip_echo_and_heading(spark):
 def test_py_strip_matches_python(spark):
     vals = ["  a b  ", "　x　", "\n\t y \r\n", " z ", "", "   "]
     assert one(spark, vals, py_strip) == [v.strip() for v in vals]
+
+
+def test_parse_score_has_no_digit_count_switch(spark):
+    got = one(spark, ["150", "1" * 60, "0150"], lambda c: P.parse_score(c, 0, 1000))
+    assert got == [150, 1000, 150]

@@ -58,7 +58,7 @@ def test_encoding_fallback(spark, tmp_out):
 
 def test_result_tree_and_templates(spark, tmp_out):
     root = os.path.join(tmp_out, "results")
-    write(os.path.join(root, "m1", "classification", "v01", "experiment_results.csv"), "ID,sent\n1,a\n")
+    write(os.path.join(root, "m1", "classification", "v01", "results.csv"), "ID,sent\n1,a\n")
     write(os.path.join(root, "m1", "classification", "v01", "other.csv"), "ID,sent\n9,z\n")
     write(os.path.join(root, "m2", "stepwise", "v02", "stepwise_results.csv"), "ID,sent\n2,b\n")
     df = read_result_tree(spark, root, SCHEMA)
