@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from labelq.llm.common import read
 
 MARK = "▁"
-#: Parts remembered per Python worker before the memory is cleared, and the longest one remembered.
+#: Parts remembered per task before the memory is cleared, and the longest one remembered.
 CACHE_PARTS = 200_000
 CACHE_CHARS = 48
-#: Pair checks remembered per worker.
+#: Pair checks remembered per task.
 CACHE_PAIRS = 400_000
 
 
 class Codec:
-    """Encoder and decoder of one model; built from the model's bytes, once per Python worker."""
+    """Encoder and decoder of one model; built from the model's bytes, once per task."""
 
     def __init__(self, model: bytes):
         import ahocorasick
@@ -70,7 +71,7 @@ class Codec:
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
         # Pieces that their own merges do not rebuild never occur in an encoding.
         self.matcher = ahocorasick.Automaton()
         for p in self.rank:
@@ -137,20 +138,24 @@ class Codec:
 
     def part(self, part: str) -> tuple[str, int, str]:
         """Ids joined by spaces, their number, and the decoded text of one part."""
-        known = self.cache.get(part)
+        ids: list[int] = []
+        for p in self.pieces(part):
+            i = self.ids.get(p)
+            if i is None:
+                ids += [self.byte_ids[b] for b in p.encode()]
+            else:
+                ids.append(i)
+        return " ".join(map(str, ids)), len(ids), self.surface(ids)
+
+    def word(self, x: str) -> tuple[str, int, str]:
+        """``part`` of one space mark and ``x``, remembered unless it is long."""
+        known = self.words.get(x)
         if known is None:
-            ids: list[int] = []
-            for p in self.pieces(part):
-                i = self.ids.get(p)
-                if i is None:
-                    ids += [self.byte_ids[b] for b in p.encode()]
-                else:
-                    ids.append(i)
-            known = (" ".join(map(str, ids)), len(ids), self.surface(ids))
-            if len(part) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_PARTS:
-                    self.cache.clear()
-                self.cache[part] = known
+            known = self.part(MARK + x)
+            if len(x) <= CACHE_CHARS:
+                if len(self.words) >= CACHE_PARTS:
+                    self.words.clear()
+                self.words[x] = known
         return known
 
     def encode_parts(self, text: str | None) -> list[tuple[str, int, str]]:
@@ -159,10 +164,13 @@ class Codec:
         marked = MARK + text.replace(" ", MARK)
         if not self.splits:
             return [self.part(marked)]
-        cache, out = self.cache, []
-        for x in self.parts.findall(marked):
-            known = cache.get(x)
-            out.append(self.part(x) if known is None else known)
+        if MARK + MARK in marked or marked[-1] == MARK:
+            return [self.word(x[1:]) for x in self.parts.findall(marked)]
+        # One mark before each part: a plain split finds them, and known parts are looked up together.
+        words = marked[1:].split(MARK)
+        out = list(map(self.words.get, words))
+        if None in out:
+            out = [known or self.word(x) for known, x in zip(out, words, strict=True)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -170,6 +178,10 @@ class Codec:
         return [int(i) for x in self.encode_parts(text) for i in x[0].split(" ")] + [self.eos]
 
     def surface(self, ids: list[int]) -> str:
+        try:
+            return "".join([self.text_of[i] for i in ids]).replace(MARK, " ")
+        except KeyError:  # byte pieces or control ids among them
+            pass
         raw = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -185,17 +197,6 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-def codec(model: bytes) -> Codec:
-    """The worker's codec of ``model``; kept for later batches and tasks of the same worker."""
-    import sys
-
-    kept = sys.modules.setdefault("_labelq_codecs", type(sys)("_labelq_codecs")).__dict__
-    key = hashlib.sha256(model).hexdigest()
-    if key not in kept:
-        kept[key] = Codec(model)
-    return kept[key]
-
-
 def load_model(path: str) -> bytes:
     """The model file's bytes, read on the driver (about half a megabyte) and sent with the task."""
     with open(path, "rb") as f:
@@ -213,8 +214,10 @@ def encode_column(docs: DataFrame, model: bytes, keep_ids: bool = False) -> Data
         schema += ", ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value)
+        # Made anew in each task (0.2 s) and dropped with it: a worker that lives on keeps no caches.
+        c = Codec(shared.value)
         end = str(c.eos)
+        ids_of, size_of, text_of = itemgetter(0), itemgetter(1), itemgetter(2)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep_ids
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         for batch in batches:
@@ -222,9 +225,9 @@ def encode_column(docs: DataFrame, model: bytes, keep_ids: bool = False) -> Data
             cols: list[list] = [[] for _ in types]
             for at, value in enumerate(batch.column(1)):
                 parts = c.encode_parts(value.as_py())
-                ids = " ".join([x[0] for x in parts] + [end])
-                text = "".join([x[2] for x in parts])[1:]
-                row = [doc_id[at], sum([x[1] for x in parts]) + 1, hashlib.sha256(ids.encode()).hexdigest(),
+                ids = " ".join([*map(ids_of, parts), end])
+                text = "".join(map(text_of, parts))[1:]
+                row = [doc_id[at], sum(map(size_of, parts)) + 1, hashlib.sha256(ids.encode()).hexdigest(),
                        hashlib.sha256(text.encode()).hexdigest()]
                 if keep_ids:
                     row += [[int(i) for i in ids.split(" ")], text]
