@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import WordHasher, byte_values, mix, slices, text_bytes
-from labelq.llm.common import materialize, read
+from labelq.llm.common import bounded, materialize, read, small_batches
 from labelq.llm.graph import components
 
 #: Text bytes per bucket of the frequency sketch, and its largest size (2 ** 27 buckets of one byte).
@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
         steps = np.minimum(np.round(8 * np.log2(np.maximum(added(pdf), 1))), 255).astype(np.uint8)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [steps.tobytes()]})
 
-    rows = docs.select("text").mapInArrow(run, "part long, salt long, low binary, at binary, more binary")
+    rows = docs.select("text").mapInArrow(bounded(run), "part long, salt long, low binary, at binary, more binary")
     rows = rows.groupBy("part", "salt").applyInPandas(some, "part long, low binary, at binary, more binary")
     out = np.zeros(size, np.uint8)
     for part, steps in rows.groupBy("part").applyInPandas(all_, "part long, low binary").toLocalIterator():
@@ -165,7 +165,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), "doc_id long, n_shingles long, digest binary, first array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> Data
                                                  names=["doc_id", "s", "rest"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("p"))
-    return rows.mapInArrow(run, "doc_id long, s array<long>, rest array<array<long>>")
+    return rows.mapInArrow(bounded(run), "doc_id long, s array<long>, rest array<array<long>>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -218,6 +218,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text): texts link when
     100 * |A and B| >= ``percent`` * |A or B| over their sets of ``n``-word shingles."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(signatures(docs, n, percent), "ngram-signatures")
     # Classes of equal sets, joined over shared doc_ids too (a repeated id is one document).

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import PIECE, WordHasher, byte_values, slices, text_bytes
-from labelq.llm.common import read
+from labelq.llm.common import bounded, read, small_batches
 from labelq.llm.toxicity_pu import held_out
 
 MAX_LABELLED = 4096
@@ -108,7 +108,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], names=["feature", "df"])
 
-    sums = docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
+    sums = docs.select("text").mapInArrow(bounded(run), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
     got = dict(map(tuple, sums.collect()))  # at most FEATURES + 1 rows
     df = np.zeros(FEATURES)
     n = got.pop(-1, 0)
@@ -134,6 +134,7 @@ def project(rows: np.ndarray, idf: np.ndarray, projection: np.ndarray) -> np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Model of the labelled rows of ``labels`` (doc_id, ``label`` 0 or 1) and the statistics of all of ``docs``."""
+    small_batches(docs.sparkSession)
     n, df = document_frequencies(docs)
     idf = (np.log((n + 1) / (df + 1)) + 0.05).astype(np.float32)
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                                                  names=["doc_id", "y", "row"])
 
     sample = docs.join(F.broadcast(known), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text")
-    got = sample.mapInArrow(run, "doc_id long, y int, row binary").orderBy("doc_id", "row").limit(2 * MAX_LABELLED).toArrow()
+    got = sample.mapInArrow(bounded(run), "doc_id long, y int, row binary").orderBy("doc_id", "row").limit(2 * MAX_LABELLED).toArrow()
     y = got["y"].to_numpy().astype(np.float32)
     if not len(y):
         return Model(idf, np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
@@ -192,7 +193,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                 s = vote(project(count(part.column(0)), m.idf, m.projection), m)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s)], names=[*columns, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from labelq.llm.common import read
+from labelq.llm.common import bounded, read, small_batches
 
 MARK = "▁"
 #: Parts remembered per task before the memory is cleared, and the longest one remembered.
@@ -208,6 +208,7 @@ def load_model(path: str) -> bytes:
 
 def encode_column(docs: DataFrame, model: bytes, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids and decoded."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
@@ -235,7 +236,7 @@ def encode_column(docs: DataFrame, model: bytes, keep_ids: bool = False) -> Data
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=names[:len(types)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import PIECE, mix, slices, text_bytes
-from labelq.llm.common import materialize, read
+from labelq.llm.common import bounded, materialize, read, small_batches
 
 LENGTH = 50
 GRAM = 24
@@ -206,7 +206,7 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
         own[h >> np.uint32(32 - (BITMAP_BITS - bits))] = True
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, h binary").groupBy("bucket").applyInPandas(repeated, "bucket long, bits binary")
+    rows = docs.select("text").mapInArrow(bounded(count), "bucket long, h binary").groupBy("bucket").applyInPandas(repeated, "bucket long, bits binary")
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     step = 1 << (BITMAP_BITS - bits - 3)
     for bucket, part in rows.toLocalIterator():
@@ -298,15 +298,16 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield judged(pa.Table.from_batches(held).combine_chunks())
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.mapInArrow(cut, "h long, run binary, ids array<long>, keys array<long>, starts array<long>")
+    runs = docs.mapInArrow(bounded(cut), "h long, run binary, ids array<long>, keys array<long>, starts array<long>")
     dealt = runs.repartition(parts, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(sort, "doc_id long, key long, a long, z long")
+    return dealt.mapInArrow(bounded(sort), "doc_id long, key long, a long, z long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text and others);
     with ``keep_text`` also all columns of ``docs``, and ``text`` without the removed characters (a character goes when
     all its bytes go)."""
+    small_batches(docs.sparkSession)
     found = repeated_intervals(docs.select("doc_id", "text"), length)
     found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "z")).alias("_spans"))
     found = materialize(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "suffix-spans")
@@ -351,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
             yield pa.RecordBatch.from_arrays([*same, *body, *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())],
                                              names=[*passed, *(["text"] if keep_text else []), "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(bounded(run), schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

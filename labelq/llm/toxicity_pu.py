@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import WordHasher, byte_values, slices, text_bytes
-from labelq.llm.common import read
+from labelq.llm.common import bounded, read, small_batches
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 8000
@@ -52,7 +52,7 @@ def word_sets(texts: DataFrame) -> DataFrame:
                 sets = [np.unique(words[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["positive", "words"])
 
-    return texts.select("positive", "text").mapInArrow(run, "positive boolean, words array<long>")
+    return texts.select("positive", "text").mapInArrow(bounded(run), "positive boolean, words array<long>")
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.2,
@@ -95,6 +95,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Classifiers from ``labels`` (doc_id, toxic; training rows only) and the texts of ``docs``."""
+    small_batches(docs.sparkSession)
     n_toxic, n_labels = labels.agg(F.count_if(F.col("toxic") == 1), F.count("toxic")).first()
     prior = prior if prior is not None else (n_toxic / n_labels if n_labels else 0.0)
     if not n_toxic:
@@ -144,7 +145,7 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray, float]]) -
                     total += 1 / (1 + np.exp(-np.clip(g, -40, 40)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total / len(members))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), "doc_id long, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
