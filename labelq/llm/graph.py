@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelq.llm.common import materialize
+from labelq.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         large = materialize(large, "cc")
+        discard(e)
         # Small star: every node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = materialize(small, "cc")
+        discard(large)
         # Done when every node has one parent and no parent has one itself.
         open_ = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").head(1) \
             or small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").head(1)

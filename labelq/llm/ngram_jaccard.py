@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import WordHasher, byte_values, mix, slices, text_bytes
-from labelq.llm.common import bounded, materialize, read, small_batches
+from labelq.llm.common import bounded, discard, materialize, read, small_batches
 from labelq.llm.graph import components
 
 #: Text bytes per bucket of the frequency sketch, and its largest size (2 ** 27 buckets of one byte).
@@ -211,8 +211,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     found = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("_sa")), "a") \
         .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("_sb")), "b")
     common = F.size(F.array_intersect("_sa", "_sb"))
-    return materialize(found.select("a", "b", common.alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_n"))
-                       .where(100 * F.col("_i") >= percent * (F.col("_n") - F.col("_i"))).select("a", "b").distinct(), "ngram-links")
+    links = materialize(found.select("a", "b", common.alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_n"))
+                        .where(100 * F.col("_i") >= percent * (F.col("_n") - F.col("_i"))).select("a", "b").distinct(), "ngram-links")
+    discard(sets, pairs)
+    return links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -226,10 +228,15 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = known.join(classes, (known["doc_id"] == classes["rep"]) & (known["digest"] == classes["digest"]), "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "first"), "ngram-reps")
+    # From here on only the representatives need their prefixes.
+    narrow = materialize(rows.drop("first"), "ngram-rows")
+    discard(rows)
+    rows, known = narrow, narrow.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     postings = reps.select("doc_id", F.col("n_shingles").alias("size"), F.posexplode("first").alias("at", "token"))
     groups = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "size", "at")).alias("_p")).where("_n > 1")
     postings = materialize(postings.join(groups, "token").select("token", "doc_id", "size", "at", "_p"), "ngram-postings")
+    discard(reps)
 
     def fits(size: str, at: str, other: str, other_at: str):
         # Positions before the first shared token match nothing: the rest of the shorter text bounds the overlap.
@@ -248,12 +255,15 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     parts = placed.groupBy("token", "comp").agg(F.count("*").alias("n"))
     top = parts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("t"), F.count("*").alias("k")).where("k > 1")
     mixed = materialize(placed.join(top.select("token", F.col("t.comp").alias("top")), "token"), "ngram-mixed")
+    discard(postings)
     minor = mixed.where("comp <> top").select("token", F.col("doc_id").alias("x"), F.col("size").alias("xs"), F.col("at").alias("xa"),
                                               F.col("comp").alias("xc"))
     cross = minor.join(mixed.drop("top"), "token").where((F.col("xc") != F.col("comp")) & fits("xs", "xa", "size", "at")) \
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "ngram-cross")
+    discard(mixed, star)
     links = links.unionByName(_verified(cross, docs, n, percent))
+    discard(cross)
 
     # Rows of one class link with their representative; a doc_id with several texts joins their classes.
     same = known.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
