@@ -109,9 +109,12 @@ def batch_score(
             pending.append(pdf)
             size += len(pdf)
             while size >= batch_size:
+                # One concatenation per incoming batch; calls are slices of it.
                 buf = pd.concat(pending, ignore_index=True)
-                yield flush(buf.iloc[:batch_size])
-                rest = buf.iloc[batch_size:]
+                whole = size - size % batch_size
+                for lo in range(0, whole, batch_size):
+                    yield flush(buf.iloc[lo:lo + batch_size])
+                rest = buf.iloc[whole:]
                 pending, size = ([rest] if len(rest) else []), len(rest)
         if size:
             yield flush(pd.concat(pending, ignore_index=True))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelq.functions.text import py_strip
+
 BOM = "﻿"
 
 CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
@@ -63,13 +65,13 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def read_templates(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole-file text source: one row (path, name, template) per file."""
+    """Whole-file text source: one row (path, name, template) per file, white space at both ends removed."""
     df = spark.read.text(paths, wholetext=True)
     path = F.col("_metadata.file_path")
     return df.select(
         path.alias("path"),
         F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias("name"),
-        F.col("value").alias("template"),
+        py_strip(F.col("value")).alias("template"),
     )
 
 

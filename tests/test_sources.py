@@ -68,7 +68,7 @@ def test_result_tree_and_templates(spark, tmp_out):
     tdir = os.path.join(tmp_out, "tpl")
     write(os.path.join(tdir, "v01_base.txt"), "A {text}\nB {label}\n")
     t = read_templates(spark, tdir).first()
-    assert t.name == "v01_base" and t.template == "A {text}\nB {label}\n"
+    assert t.name == "v01_base" and t.template == "A {text}\nB {label}"
 
 
 def test_partitioned_split_sink_and_bom(spark, tmp_out):
