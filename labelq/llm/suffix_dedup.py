@@ -174,6 +174,22 @@ def smallest_owner(runs: list[bytes], owner: np.ndarray, length: int) -> tuple[n
     return run, order - begin[run], np.repeat(low, members)
 
 
+def bucketed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (the upper ``bits`` bits) of sorted hashes and their short hashes: the next bits, at most 32."""
+    width = min(32, HASH_BITS - bits)
+    short = (h >> np.uint64(HASH_BITS - bits - width)) & np.uint64((1 << width) - 1)
+    return (h >> np.uint64(HASH_BITS - bits)).astype(np.int64), short.astype(np.uint32)
+
+
+def bucket_bits(short: np.ndarray, bits: int) -> bytes:
+    """A bucket's part of the bitmap: the bits of the short hashes that come twice."""
+    h = np.sort(short)
+    h = h[1:][h[1:] == h[:-1]]
+    own = np.zeros(1 << (BITMAP_BITS - bits), bool)
+    own[h >> np.uint32(min(32, HASH_BITS - bits) - (BITMAP_BITS - bits))] = True
+    return np.packbits(own).tobytes()
+
+
 def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
     """Bits of the minimisers that occur in two or more rows; at most 2 ** BITMAP_BITS / 8 bytes reach the driver."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -181,7 +197,7 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
     gram = min(GRAM, length)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, mask = Runs(length, gram), np.uint64(0xFFFFFFFF)
+        runs = Runs(length, gram)
         for batch in batches:
             found = []
             for hashes, text, _, _ in runs(*text_bytes(batch.column(0))):
@@ -191,8 +207,7 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
             low = np.uint64((1 << HASH_BITS) - 1)
             h = np.sort(np.unique(np.concatenate(found)) & low)
             h = h[np.concatenate([[True, True], h[2:] != h[:-2]])[:len(h)]]  # two of a kind say enough
-            bucket = (h >> np.uint64(HASH_BITS - bits)).astype(np.int64)
-            short = ((h >> np.uint64(HASH_BITS - bits - 32)) & mask).astype(np.uint32)
+            bucket, short = bucketed(h, bits)
             heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             parts = np.split(short, heads[1:])
             yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "h"])
@@ -200,11 +215,8 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
     def repeated(pdf):
         import pandas as pd
 
-        h = np.sort(np.frombuffer(b"".join(pdf["h"]), np.uint32))
-        h = h[1:][h[1:] == h[:-1]]
-        own = np.zeros(1 << (BITMAP_BITS - bits), bool)
-        own[h >> np.uint32(32 - (BITMAP_BITS - bits))] = True
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
+        part = bucket_bits(np.frombuffer(b"".join(pdf["h"]), np.uint32), bits)
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [part]})
 
     rows = docs.select("text").mapInArrow(bounded(count), "bucket long, h binary").groupBy("bucket").applyInPandas(repeated, "bucket long, bits binary")
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
