@@ -3,8 +3,10 @@
 Every vector keeps a list of its best neighbours.  Lists start from vectors that are adjacent in the
 order of random sign codes and improve by comparing neighbours of neighbours, in both directions, until a
 round adds hardly any edge at the threshold.  A list that is full of neighbours above the threshold is saturated: it
-may miss further links, so all lists of its component are enlarged to the whole component, compared
-in blocks of BLOCK vectors (only counts leave a block).  Recall is then audited: AUDIT vectors
+may miss further links (an edge that no list holds was pushed out of two saturated ones), so its component is compared
+whole in blocks of BLOCK vectors: with the vectors outside until no component merges, then with itself (only
+pairs of components and counts leave a block).  Outside vectors farther from the component's first vector than its
+radius and the threshold's angle together cannot link and are left out.  Recall is then audited: AUDIT vectors
 are compared with all vectors exactly, and while less than ``min_recall`` of their links were found the lists are
 doubled and the descent goes on.
 
@@ -34,6 +36,7 @@ STARTS = 4
 START_BLOCK = 256
 CODE_BITS = 14
 BLOCK = 1024
+PIVOTS = 4096
 AUDIT = 256
 MAX_ROUNDS = 6
 MAX_DOUBLINGS = 3
@@ -186,6 +189,107 @@ def enlarged_counts(members: DataFrame, threshold: float) -> DataFrame:
     return paired.groupBy("component", "i", "j").applyInPandas(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
 
 
+def component_pairs(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different components that a block of links joins."""
+    i, j = np.nonzero(hit & (rows[:, None] != columns[None, :]))
+    pairs = np.unique(np.stack([rows[i], columns[j]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def outside_near(todo: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """component, vec_id, key, own: vectors of ``nodes`` in other components (own) that can link to a ``todo`` vector of the
+    component; both are (vec_id, key, component)."""
+    spark = nodes.sparkSession
+    heads = nodes.join(todo.select(F.col("component").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "key")
+    heads = materialize(heads.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(-(-heads.count() // PIVOTS) or 1))), "nnd-heads")
+    out = None
+    for (number,) in heads.select("slice").distinct().collect():
+        rows = heads.where(F.col("slice") == number).orderBy("vec_id").collect()
+        ids, x = np.array([r[0] for r in rows]), matrix([bytes(r[1]) for r in rows])
+        shared = spark.sparkContext.broadcast((ids, x))
+
+        def radius(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            low = np.full(len(ids), 2.0)
+            for batch in batches:
+                own = batch.column(1).to_numpy()
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                mine = np.flatnonzero(ids[at] == own)
+                if len(mine):
+                    y = matrix(batch.column(0).take(pa.array(mine)).to_pylist())
+                    np.minimum.at(low, at[mine], np.einsum("ij,ij->i", y, x[at[mine]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low < 2]), pa.array(low[low < 2])], names=["component", "low"])
+
+        low = dict(todo.select("key", "component").mapInArrow(radius, "component long, low double").groupBy("component").agg(F.min("low")).collect())
+        reach = np.arccos(np.clip([low[i] for i in ids.tolist()], -1, 1)) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+        near = spark.sparkContext.broadcast(np.cos(np.minimum(reach, np.pi)) - 1e-9)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, near=near) -> Iterator[pa.RecordBatch]:
+            (ids, x), least = shared.value, near.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    hit = matrix(part.column(1).to_pylist()) @ x.T >= least
+                    i, j = np.nonzero(hit & (part.column(2).to_numpy()[:, None] != ids[None, :]))
+                    for a in range(0, len(i), 4096):
+                        take = pa.array(i[a:a + 4096])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[j[a:a + 4096]]), *[part.column(c).take(take) for c in range(3)]],
+                                                         names=["component", "vec_id", "key", "own"])
+
+        found = nodes.select("vec_id", "key", "component").mapInArrow(run, "component long, vec_id long, key binary, own long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def outside_links(todo: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: distinct pairs of components that a link of a ``todo`` vector joins, compared one pair of blocks per group."""
+    import pandas as pd
+
+    def run(pdf):
+        inner = pdf["own"].isna().to_numpy()
+        if inner.all() or not inner.any():
+            return pd.DataFrame({"a": [], "b": []})
+        x, own = matrix(list(pdf["key"])), pdf["own"][~inner].to_numpy(np.int64)
+        a, b = component_pairs(x[inner] @ x[~inner].T >= threshold, np.full(int(inner.sum()), pdf["component"].iloc[0]), own)
+        return pd.DataFrame({"a": a, "b": b})
+
+    outer = materialize(outside_near(todo, nodes, threshold), "nnd-outside")
+    inner = todo.join(outer.select("component").distinct(), "component", "left_semi")
+    blocks = lambda t, name: t.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(inner, "rows").join(blocks(outer, "columns"), "component")
+    place = lambda name: F.pmod(F.xxhash64("vec_id"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    inner = inner.join(sizes, "component").select("component", "key", F.lit(None).cast("long").alias("own"), place("rows").alias("i"), every("columns").alias("j"))
+    outer = outer.join(sizes, "component").select("component", "key", "own", every("rows").alias("i"), place("columns").alias("j"))
+    return inner.unionByName(outer).groupBy("component", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def merged(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``nodes`` with the components that ``pairs`` (a, b) join made one, named by its smallest."""
+    named = components(pairs).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    out = nodes.join(named, "component", "left").withColumn("component", F.coalesce("_to", "component"))
+    return materialize(out.select(*nodes.columns), "nnd-nodes")
+
+
+def completed(nodes: DataFrame, full: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (vec_id, key, copies, component) with the links of the components of ``full`` (vec_id) to the outside
+    added, and the members of those components."""
+    crowded = materialize(nodes.join(full, "vec_id", "left_semi").select("component").distinct(), "nnd-crowded")
+    members = materialize(nodes.join(crowded, "component", "left_semi").select(*nodes.columns), "nnd-members")
+    todo = members
+    while todo.head(1):
+        pairs = materialize(outside_links(todo, nodes, threshold), "nnd-pairs")
+        if not pairs.head(1):
+            break
+        nodes = merged(nodes, pairs)
+        grown = nodes.join(members.select("vec_id"), "vec_id", "left_semi").select("component").distinct()
+        now = materialize(nodes.join(grown, "component", "left_semi").select(*nodes.columns), "nnd-members")
+        # What was compared need not be again: only new members can have links that leave.
+        todo = materialize(now.join(members.select("vec_id"), "vec_id", "left_anti"), "nnd-todo")
+        members = now
+    return nodes, members
+
+
 def audit(reps: DataFrame, counts: DataFrame, threshold: float) -> float:
     """Share of the true links of up to AUDIT vectors (by hash) that ``counts`` (vec_id, n) holds; each is compared with all vectors."""
     sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).select("vec_id", "key").collect()
@@ -233,10 +337,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHB
                 break
             before = now
         links = materialize(exact_links(lists, reps, threshold), "nnd-links")
-        comp = materialize(components(links), "nnd-components")
-        full = lists.groupBy("u").agg(F.min("sim").alias("w"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("w") >= threshold - SLACK))
-        crowded = full.join(comp, F.col("u") == F.col("node")).select("component").distinct()
-        members = comp.join(crowded, "component", "left_semi").join(reps.drop("codes"), F.col("node") == F.col("vec_id")).select("vec_id", "key", "copies", "component")
+        nodes = reps.join(components(links), F.col("vec_id") == F.col("node"), "left") \
+            .select("vec_id", "key", "copies", F.coalesce("component", "vec_id").alias("component"))
+        full = lists.groupBy(F.col("u").alias("vec_id")).agg(F.min("sim").alias("w"), F.count("*").alias("n")) \
+            .where((F.col("n") >= k) & (F.col("w") >= threshold - SLACK)).select("vec_id")
+        nodes, members = completed(materialize(nodes, "nnd-nodes"), full, threshold)
         copies = reps.select("vec_id", "copies")
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         listed = ends.join(copies, ends["b"] == copies["vec_id"]).groupBy("a").agg(F.sum("copies").alias("n")).withColumnRenamed("a", "vec_id")
@@ -246,9 +351,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHB
             break
         k *= 2
     # All rows: their class, the class's links and its component.
-    node = comp.select("node", "component")
-    per = reps.join(counts, "vec_id", "left").join(node, F.col("vec_id") == F.col("node"), "left") \
-        .select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("component"))
+    per = nodes.join(counts, "vec_id", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     found = rows.join(per, "key").select(F.col("vec_id").alias("_id"), "n", "component")
     found = found.groupBy("_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = vectors.select("vec_id").join(found, F.col("vec_id") == F.col("_id"), "left")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from labelq.llm import suffix_dedup
+from labelq.llm import embedding_dedup, suffix_dedup
 
 
 @pytest.mark.parametrize("bits", range(8, 25))
@@ -20,3 +20,35 @@ def test_suffix_dedup_bucket_arithmetic(bits):
     bit = (h[::3] >> np.uint64(suffix_dedup.HASH_BITS - suffix_dedup.BITMAP_BITS)).astype(np.int64)
     assert ((got[bit >> 3] >> (7 - (bit & 7))) & 1).all()
     assert np.unpackbits(got).sum() <= len(np.unique(bit)) + 30  # and hardly any others
+
+
+def links_of(x, threshold):
+    """n_links and component_id by brute force; ids are row numbers."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T) >= threshold
+    np.fill_diagonal(hit, False)
+    comp = np.arange(len(x))
+    while True:
+        low = np.minimum(comp, np.where(hit, comp[None, :], len(x)).min(axis=1))
+        if (low == comp).all():
+            return hit.sum(axis=1), comp
+        comp = low
+
+
+def check_links(spark, x, threshold=0.95, **options):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    n, comp = links_of(x, threshold)
+    got = {r[0]: r[1:] for r in embedding_dedup.near_duplicates(df, threshold, **options).collect()}
+    assert [got[i][0] for i in range(len(x))] == n.tolist()
+    assert [got[i][1] for i in range(len(x))] == comp.tolist()
+    assert [got[i][2] for i in range(len(x))] == (comp == np.arange(len(x))).tolist()
+
+
+def test_embedding_links_between_saturated_clusters(spark):
+    rng = np.random.default_rng(5)
+    base = np.zeros((2, 32))
+    base[0, 0], base[1, :2] = 1, (0.965, np.sqrt(1 - 0.965**2))
+    x = np.concatenate([c + rng.normal(0, 0.004, (130, 32)) for c in base] + [rng.normal(0, 1, (100, 32))])
+    n, _ = links_of(x, 0.95)
+    assert (n[:260] > 2 * embedding_dedup.NEIGHBOURS * 2**embedding_dedup.MAX_DOUBLINGS).all()  # more than any list holds
+    check_links(spark, x[rng.permutation(len(x))], min_recall=0.0)  # whatever the audit says
