@@ -2,13 +2,15 @@
 
 Every vector keeps a list of its best neighbours.  Lists start from vectors that are adjacent in the
 order of random sign codes and improve by comparing neighbours of neighbours, in both directions, until a
-round adds hardly any edge at the threshold.  A list that is full of neighbours above the threshold is saturated: it
+round changes hardly any list entry.  A list that is full of neighbours above the threshold is saturated: it
 may miss further links (an edge that no list holds was pushed out of two saturated ones), so its component is compared
 whole in blocks of BLOCK vectors: with the vectors outside until no component merges, then with itself (only
 pairs of components and counts leave a block).  Outside vectors farther from the component's first vector than its
-radius and the threshold's angle together cannot link and are left out.  Recall is then audited: AUDIT vectors
-are compared with all vectors exactly, and while less than ``min_recall`` of their links were found the lists are
-doubled and the descent goes on.
+radius and the threshold's angle together cannot link and are left out.  Recall is then
+audited: AUDIT vectors and a share of the rest, and one vector of each of up to LINKED components, are compared with all
+vectors exactly; recall is the mean over components, so one large group counts once.  While it is less than
+``min_recall`` the lists are doubled and the descent goes on; after the last doubling all vectors are
+compared exactly, in blocks.
 
 Equal vectors form one class, whose smallest vec_id stands for it, so copies are never expanded into pairs.
 Cosines that decide a link are computed in double precision from the given components.
@@ -37,8 +39,11 @@ START_BLOCK = 256
 CODE_BITS = 14
 BLOCK = 1024
 PIVOTS = 4096
-AUDIT = 256
+AUDIT = 4096
+LINKED = 1024
 MAX_ROUNDS = 6
+#: A round that changes a smaller share of the list entries is the last one.
+CHANGED = 0.01
 MAX_DOUBLINGS = 3
 #: Single-precision cosines below the threshold by less than this are checked in double precision.
 SLACK = 0.005
@@ -102,9 +107,10 @@ def start_edges(reps: DataFrame, k: int) -> DataFrame:
 
 
 def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best distinct neighbours of every vector, counting edges in both directions."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-    both = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The ``k`` best distinct neighbours of every vector, counting edges in both directions; ``new`` is 0 for a pair that
+    came with 0 at least once."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new"))
+    both = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
     return both.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
@@ -290,28 +296,46 @@ def completed(nodes: DataFrame, full: DataFrame, threshold: float) -> tuple[Data
     return nodes, members
 
 
-def audit(reps: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the true links of up to AUDIT vectors (by hash) that ``counts`` (vec_id, n) holds; each is compared with all vectors."""
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).select("vec_id", "key").collect()
+def compared(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with exact components, and the exact counts (vec_id, n): all pairs of blocks are compared."""
+    pairs = materialize(outside_links(nodes, nodes, threshold), "nnd-pairs")
+    nodes = merged(nodes, pairs)
+    return nodes, materialize(enlarged_counts(nodes, threshold), "nnd-counts")
+
+
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """Share of the true links of sampled vectors that ``counts`` (vec_id, n) holds, each compared with all vectors: the mean
+    over components of the mean over their sampled vectors.  The smaller of two such shares, of vectors taken by hash and
+    of one vector each of components with links."""
+    order = F.xxhash64("vec_id")
+    size = AUDIT + nodes.count() // (1 << 14)
+    any_ = nodes.orderBy(order, "vec_id").limit(size).select("vec_id")
+    linked = nodes.join(counts.where("n > 0").select("vec_id"), "vec_id", "left_semi").groupBy("component").agg(F.min_by("vec_id", order).alias("vec_id"))
+    one = linked.orderBy(order, "vec_id").limit(LINKED).select("vec_id")
+    chosen = any_.withColumn("one", F.lit(0)).unionByName(one.withColumn("one", F.lit(1))).groupBy("vec_id").agg(F.min("one").alias("least"), F.max("one").alias("one"))
+    chosen = materialize(nodes.join(chosen, "vec_id"), "nnd-audit")
+    sample = chosen.select("vec_id", "key").collect()
     if not sample:
         return 1.0
     ids, x = np.array([r[0] for r in sample]), matrix([bytes(r[1]) for r in sample])
-    shared = reps.sparkSession.sparkContext.broadcast((ids, x))
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 hit = (x @ matrix(part.column(1).to_pylist()).T) >= threshold
                 hit &= ids[:, None] != part.column(0).to_numpy()[None, :]
                 total += hit @ part.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "truth"])
 
-    truth = reps.select("vec_id", "key", "copies").mapInArrow(run, "vec_id long, truth long").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
-    row = truth.join(counts, "vec_id", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    truth = nodes.select("vec_id", "key", "copies").mapInArrow(run, "vec_id long, truth long").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
+    found = chosen.select("vec_id", "component", "least", "one").join(truth.where("truth > 0"), "vec_id").join(counts, "vec_id", "left")
+    found = found.withColumn("share", F.least("truth", F.coalesce("n", F.lit(0))) / F.col("truth"))
+    per = found.groupBy("component").agg(F.avg(F.when(F.col("least") == 0, F.col("share"))).alias("a"), F.avg(F.when(F.col("one") == 1, F.col("share"))).alias("b"))
+    return min(1.0 if r is None else r for r in per.agg(F.avg("a"), F.avg("b")).first())
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHBOURS, min_recall: float = 0.95) -> DataFrame:
@@ -326,16 +350,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHB
     classes = rows.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min("codes").alias("codes"))
     reps = materialize(classes.groupBy("vec_id").agg(F.min("key").alias("key"), F.min_by("copies", "key").alias("copies"), F.min_by("codes", "key").alias("codes")),
                        "nnd-reps")
-    lists = materialize(best_lists(start_edges(reps, k), k), "nnd-lists")
-    strong = F.col("sim") >= threshold - SLACK
+    lists = materialize(best_lists(start_edges(reps, k).withColumn("new", F.lit(1)), k), "nnd-lists")
     for doubling in range(MAX_DOUBLINGS + 1):
-        before = lists.where(strong).count()
         for _ in range(MAX_ROUNDS):
-            lists = materialize(best_lists(lists.unionByName(descend(lists, reps, k)), k), "nnd-lists")
-            now = lists.where(strong).count()
-            if now - before <= 0.01 * before:
+            met = lists.withColumn("new", F.lit(0)).unionByName(descend(lists, reps, k).withColumn("new", F.lit(1)))
+            lists = materialize(best_lists(met, k), "nnd-lists")
+            entries, changed = lists.agg(F.count("*"), F.coalesce(F.sum("new"), F.lit(0))).first()
+            if changed <= CHANGED * entries:
                 break
-            before = now
         links = materialize(exact_links(lists, reps, threshold), "nnd-links")
         nodes = reps.join(components(links), F.col("vec_id") == F.col("node"), "left") \
             .select("vec_id", "key", "copies", F.coalesce("component", "vec_id").alias("component"))
@@ -347,9 +369,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHB
         listed = ends.join(copies, ends["b"] == copies["vec_id"]).groupBy("a").agg(F.sum("copies").alias("n")).withColumnRenamed("a", "vec_id")
         counts = listed.unionByName(enlarged_counts(members, threshold)).groupBy("vec_id").agg(F.max("n").alias("n"))
         counts = materialize(counts, "nnd-counts")
-        if audit(reps, counts, threshold) >= min_recall:
+        if audit(nodes, counts, threshold) >= min_recall:
             break
         k *= 2
+    else:
+        nodes, counts = compared(nodes, threshold)
     # All rows: their class, the class's links and its component.
     per = nodes.join(counts, "vec_id", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     found = rows.join(per, "key").select(F.col("vec_id").alias("_id"), "n", "component")

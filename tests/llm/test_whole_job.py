@@ -52,3 +52,29 @@ def test_embedding_links_between_saturated_clusters(spark):
     n, _ = links_of(x, 0.95)
     assert (n[:260] > 2 * embedding_dedup.NEIGHBOURS * 2**embedding_dedup.MAX_DOUBLINGS).all()  # more than any list holds
     check_links(spark, x[rng.permutation(len(x))], min_recall=0.0)  # whatever the audit says
+
+
+def hot_group_and_pairs():
+    rng = np.random.default_rng(6)
+    pairs = np.repeat(rng.normal(0, 1, (60, 32)), 2, axis=0) + rng.normal(0, 0.01, (120, 32))
+    return np.concatenate([rng.normal(0, 1, 32) + rng.normal(0, 0.02, (150, 32)), pairs])
+
+
+def test_embedding_audit_sees_pairs_beside_a_hot_group(spark):
+    x = hot_group_and_pairs()
+    n, comp = links_of(x, 0.95)
+    assert (n[:150] == 149).all() and (n[150:] == 1).all()
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), 1, int(comp[i]) if i < 150 else i) for i, v in enumerate(x)],
+                                  "vec_id long, key binary, copies long, component long")
+    found = spark.createDataFrame([(i, int(n[i])) for i in range(150)], "vec_id long, n long")  # no pair was found
+    assert embedding_dedup.audit(nodes, found, 0.95) < 0.1
+    whole = spark.createDataFrame([(i, int(c)) for i, c in enumerate(n)], "vec_id long, n long")
+    assert embedding_dedup.audit(nodes, whole, 0.95) == 1.0
+
+
+def test_embedding_exact_rest_after_the_last_doubling(spark, monkeypatch):
+    start = embedding_dedup.start_edges
+    monkeypatch.setattr(embedding_dedup, "start_edges", lambda reps, k: start(reps, k).where("u % 7 = 0 and v % 7 = 0"))
+    monkeypatch.setattr(embedding_dedup, "MAX_ROUNDS", 0)
+    monkeypatch.setattr(embedding_dedup, "MAX_DOUBLINGS", 0)
+    check_links(spark, hot_group_and_pairs())
