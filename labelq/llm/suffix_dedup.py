@@ -13,6 +13,9 @@ smaller doc_id.  Three passes over the documents:
    LENGTH-byte prefixes form a class with its smallest doc_id.
 3. The covered intervals join their documents, which are cut.
 
+A minimiser with HOT or more different runs (a frequent line with other neighbours in every document) is not dealt as
+one: each of its strings is dealt alone, by its own hash, so equal strings still meet and different ones spread.
+
 Equal runs are collapsed before the shuffle and before sorting, so a passage in a third of all documents costs one run
 per task.  The bitmap only skips work: strings that pass it by chance are told apart by the suffix array.
 
@@ -25,6 +28,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,10 @@ BITMAP_BITS = 27
 HASH_BITS = 44
 #: Distinct bytes per suffix array (more only when one minimiser has more).
 CHUNK = 1 << 20
+#: Different runs of one minimiser, summed over the batches that hold two or more, from which its strings are dealt alone.
+HOT = 4096
+#: Strings that wait in a task to be collapsed.
+WAITING = 1 << 17
 #: Text bytes per counting bucket.
 BUCKET_BYTES = 4 << 20
 
@@ -190,8 +198,31 @@ def bucket_bits(short: np.ndarray, bits: int) -> bytes:
     return np.packbits(own).tobytes()
 
 
-def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
-    """Bits of the minimisers that occur in two or more rows; at most 2 ** BITMAP_BITS / 8 bytes reach the driver."""
+def different_runs(raw: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes with two or more different runs of at least 8 bytes, sorted, and how many each has."""
+    order = np.argsort(h, kind="stable")
+    h, begin, end = h[order], begin[order], end[order]
+    same = h[1:] == h[:-1]
+    more = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    if not len(more):
+        return h[:0], np.zeros(0, np.int64)
+    h, begin, end = h[more], begin[more], end[more]
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    value = (end - begin).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, int((end - begin).max()), 8):
+            w = np.ascontiguousarray(words[np.minimum(begin + at, end - 8)]).view(np.uint64).ravel()
+            value = mix((value ^ w) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((value, h))
+    h, value = h[order], value[order]
+    h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (value[1:] != value[:-1])])]
+    names, count = np.unique(h, return_counts=True)
+    return names[count > 1], count[count > 1]
+
+
+def _bitmap(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bits of the minimisers that occur in two or more rows (at most 2 ** BITMAP_BITS / 8 bytes reach the driver); the sorted
+    upper bits of the hot ones, at most one per HOT runs of the table; and how many lower bits those lack."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(8, (total // BUCKET_BYTES).bit_length()), BITMAP_BITS - 3)
     gram = min(GRAM, length)
@@ -199,8 +230,12 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(length, gram)
         for batch in batches:
-            found = []
-            for hashes, text, _, _ in runs(*text_bytes(batch.column(0))):
+            found, hot, hot_count = [], [], []
+            raw, offsets = text_bytes(batch.column(0))
+            for hashes, text, begin, end in runs(raw, offsets):
+                names, many = different_runs(raw, hashes, begin, end)
+                hot.append(names)
+                hot_count.append(many)
                 found.append(np.unique(hashes + (text.astype(np.uint64) << np.uint64(HASH_BITS))))
             if not found:
                 continue
@@ -210,20 +245,32 @@ def _bitmap(docs: DataFrame, length: int) -> np.ndarray:
             bucket, short = bucketed(h, bits)
             heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             parts = np.split(short, heads[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "h"])
+            several = {}
+            where, short = bucketed(np.concatenate(hot), bits)
+            for b, x, many in zip(where.tolist(), short.tolist(), np.concatenate(hot_count).tolist(), strict=True):
+                several.setdefault(b, []).append((x, many))
+            numbers = [np.array(several.get(b, []), np.uint32).tobytes() for b in bucket[heads].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(numbers, pa.binary())],
+                                             names=["bucket", "h", "several"])
 
     def repeated(pdf):
         import pandas as pd
 
         part = bucket_bits(np.frombuffer(b"".join(pdf["h"]), np.uint32), bits)
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [part]})
+        pairs = np.frombuffer(b"".join(pdf["several"]), np.uint32).reshape(-1, 2)
+        names, at = np.unique(pairs[:, 0], return_inverse=True)
+        sums = np.bincount(at, pairs[:, 1], len(names))
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [part], "hot": [names[sums >= HOT].tobytes()]})
 
-    rows = docs.select("text").mapInArrow(bounded(count), "bucket long, h binary").groupBy("bucket").applyInPandas(repeated, "bucket long, bits binary")
+    rows = docs.select("text").mapInArrow(bounded(count), "bucket long, h binary, several binary") \
+        .groupBy("bucket").applyInPandas(repeated, "bucket long, bits binary, hot binary")
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     step = 1 << (BITMAP_BITS - bits - 3)
-    for bucket, part in rows.toLocalIterator():
+    width, hot = min(32, HASH_BITS - bits), [np.zeros(0, np.uint64)]
+    for bucket, part, names in rows.toLocalIterator():
         out[bucket * step:(bucket + 1) * step] = np.frombuffer(part, np.uint8)
-    return out
+        hot.append(np.frombuffer(names, np.uint32).astype(np.uint64) + np.uint64(bucket << width))
+    return out, np.sort(np.concatenate(hot)), HASH_BITS - bits - width
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -232,8 +279,18 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(docs, length))
     gram = min(GRAM, length)
 
+    def packed(grouped: dict) -> Iterator[pa.RecordBatch]:
+        items = list(grouped.items())
+        for lo, hi in slices(len(items), 20000):
+            part = items[lo:hi]
+            places = [x[1] for x in part]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
+                 *[pa.array([[y[i] for y in x] for x in places], pa.list_(pa.int64())) for i in range(3)]],
+                names=["h", "run", "ids", "keys", "starts"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, seen = Runs(length, gram), bitmap.value
+        runs, (seen, hot, lacking) = Runs(length, gram), bitmap.value
         shift = np.uint64(HASH_BITS - BITMAP_BITS)
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
@@ -245,18 +302,24 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 bit = hashes >> shift
                 hit = (seen[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1
                 keep = np.flatnonzero(hit)
+                if len(hot):
+                    name = hashes[keep] >> np.uint64(lacking)
+                    alone = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+                    apart, keep = keep[alone], keep[~alone]
+                    own = text[apart]
+                    for d, k, p, a, z in zip(ids[own].tolist(), keys[own].tolist(), (begin[apart] - offsets[own]).tolist(),
+                                             begin[apart].tolist(), end[apart].tolist(), strict=True):
+                        for at in range(z - a - length + 1):
+                            one = bytes(data[a + at:a + at + length])
+                            grouped.setdefault((zlib.crc32(one), one), []).append((d, k, p + at))
+                        if len(grouped) > WAITING:
+                            yield from packed(grouped)
+                            grouped = {}
                 own = text[keep]
                 for h, d, k, p, a, z in zip(hashes[keep].tolist(), ids[own].tolist(), keys[own].tolist(), (begin[keep] - offsets[own]).tolist(),
                                             begin[keep].tolist(), end[keep].tolist(), strict=True):
                     grouped.setdefault((h, bytes(data[a:z])), []).append((d, k, p))
-            items = list(grouped.items())
-            for lo, hi in slices(len(items), 20000):
-                part = items[lo:hi]
-                places = [x[1] for x in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
-                     *[pa.array([[y[i] for y in x] for x in places], pa.list_(pa.int64())) for i in range(3)]],
-                    names=["h", "run", "ids", "keys", "starts"])
+            yield from packed(grouped)
 
     def judged(batch: pa.Table) -> pa.RecordBatch:
         texts = batch.column("run").to_pylist()

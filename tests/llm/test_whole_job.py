@@ -78,3 +78,31 @@ def test_embedding_exact_rest_after_the_last_doubling(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MAX_ROUNDS", 0)
     monkeypatch.setattr(embedding_dedup, "MAX_DOUBLINGS", 0)
     check_links(spark, hot_group_and_pairs())
+
+
+def test_suffix_dedup_deals_the_strings_of_a_frequent_line_apart(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    line, passage = "All rights are reserved here. ", word(90)
+    texts = [word(80) + (line if i % 3 == 0 else "") + word(60) + (passage if i % 10 == 0 else "") for i in range(600)]
+    texts += [texts[3], texts[9][40:], texts[0]]
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    largest = spark.sparkContext.accumulator(0)
+    add, whole = largest.add, suffix_dedup.smallest_owner
+
+    def watched(runs, owner, length):
+        add(sum(len(r) > length for r in runs if line[:24].encode() in r or line[3:27].encode() in r))
+        return whole(runs, owner, length)
+
+    monkeypatch.setattr(suffix_dedup, "smallest_owner", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    first, expected = {}, []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for at in range(len(t) - 49):
+            if first.setdefault(t[at:at + 50], i) != i:
+                gone[at:at + 50] = True
+        expected.append(int(gone.sum()))
+    assert [got[i] for i in range(len(texts))] == expected and sum(e > 0 for e in expected) > 10
+    assert largest.value < 50  # hardly any run of the line is kept whole
