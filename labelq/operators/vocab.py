@@ -120,13 +120,16 @@ def extract_entities(
     extractor: Callable[[str], list] | None = None,
     tag_to_slot: dict[str, str] | None = None,
     excluded: dict[str, list[str]] | None = None,
+    filter_terms: bool | None = None,
 ) -> DataFrame:
     """Run an entity extractor per text inside ``mapInPandas``; emit (id, tag, term).
 
     ``extractor(text) -> [(tag, term)]``; a row whose extraction raises is skipped. Tags
     map to slots through ``tag_to_slot`` (F17); unmapped tags are dropped. Whole texts
-    are always used.
+    are always used. ``filter_terms`` applies F16 (by default only to the regex fallback, as
+    its SQL does); without it only empty terms are dropped.
     """
+    filter_terms = extractor is None if filter_terms is None else filter_terms
     ship_package(df.sparkSession)
     if extractor is None:
         # the regex fallback drops its excluded terms, as extract_terms does
@@ -160,7 +163,7 @@ def extract_entities(
             m = F.when(F.col("tag") == tag, F.lit(s)) if m is None else m.when(F.col("tag") == tag, F.lit(s))
         slot = m if m is not None else F.lit(None).cast("string")
     out = ents.withColumn("category", slot).withColumn("term", py_strip("term")).where(
-        F.col("category").isNotNull() & term_ok("term")
+        F.col("category").isNotNull() & (term_ok("term") if filter_terms else F.length("term") > 0)
     )
     for cat, words in (excluded or {}).items():
         out = out.where(~((F.col("category") == cat) & F.col("term").isin(*words)))
