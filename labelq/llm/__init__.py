@@ -1,7 +1,10 @@
 """Operators of a training-data pipeline; ``QUERIES`` and ``ORACLE_SQL`` list their registered queries."""
 
 from labelq.llm import (
+    decontaminate,
     embedding_dedup,
+    hard_negatives,
+    lexical_search,
     licenses,
     mixing,
     ngram_jaccard,
@@ -13,7 +16,8 @@ from labelq.llm import (
     warc_fixity,
 )
 
-_MODULES = (licenses, toxicity_pu, ngram_jaccard, sentencepiece_bpe, warc_fixity, mixing, suffix_dedup, embedding_dedup, quality_rules, quality_knn)
+_MODULES = (licenses, toxicity_pu, ngram_jaccard, sentencepiece_bpe, warc_fixity, mixing, suffix_dedup, embedding_dedup, quality_rules, quality_knn,
+            hard_negatives, lexical_search, decontaminate)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
