@@ -154,7 +154,7 @@ def test_hard_negatives(spark, anchor_bytes):
     vectors[200:500] = vectors[100]  # ties: many copies
     vectors[600:700] = np.round(vectors[600:700])
     rows = [(i, v.tolist(), int(rng.integers(0, 4))) for i, v in enumerate(vectors)]
-    rows += [(1600, None, 1), (None, [1.0] * 6, 1), (1700, [1.0] * 6, None), (1800, [1.0, None, 1, 1, 1, 1], 2), (1900, [float("inf")] * 6, 2),
+    rows += [(1600, None, 1), (None, [1.0] * 6, 1), (1700, [1.0] * 6, None), (1800, [1.0, None, 1.0, 1.0, 1.0, 1.0], 2), (1900, [float("inf")] * 6, 2),
              (2000, [0.5, 0.5], 2), (2001, [0.5, 0.4], 2), (2002, [0.4, 0.5], 3), (2100, [], 1), (2101, [], 1), (2102, [], 2), (3000, [0.0] * 6, 1),
              rows[100], rows[100], (100, vectors[7].tolist(), 3), rows[301], (4000, [float(1e6)] * 6, 1)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, vector string, rank int").repartition(3)
