@@ -8,18 +8,23 @@ newlines and doubled quotes). A UTF-8 BOM is stripped by Spark's reader in both
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelq.functions.text import py_strip
+from labelq.sources.by_header import read_by_header
 
 BOM = "﻿"
 
 CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
-CSV_WRITE = {"header": "true", "escape": '"', "quoteAll": "false"}
+# Spark's writer trims values unless told not to.
+CSV_WRITE = {"header": "true", "escape": '"', "quoteAll": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
@@ -34,26 +39,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def read_many(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, fmt: str = "csv", tag_col: str | None = None
-) -> DataFrame | None:
-    """S2 + U1: read the files that exist (missing ones are skipped with a warning) and union
-    them by name, optionally tagging each row with its file index."""
+def read_many(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, fmt: str = "csv", tag_col: str | None = None) -> DataFrame | None:
+    """S2 + U1: the union by name of the files that exist and can be read (others are skipped with a warning), optionally tagging each
+    row with the position of its path.  CSV columns are bound by header; None when no file is left."""
+    if fmt == "csv":
+        fields = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+        rows = read_by_header(spark, paths, fields, on_unreadable="skip").rows
+        if rows is None:
+            return None
+        return rows.select(*fields.names, *([F.col("_part").alias(tag_col)] if tag_col else []))
     parts = []
     for i, p in enumerate(paths):
-        if not _exists(spark, p):
-            print(f"warning: {p} not found, skipped")
+        try:
+            df = spark.read.schema(schema).format(fmt).load(p)
+        except AnalysisException as why:
+            warnings.warn(f"{p} skipped: {why.getCondition() or why}", stacklevel=2)
             continue
-        df = read_csv(spark, p, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(p)
-        if tag_col:
-            df = df.withColumn(tag_col, F.lit(i))
-        parts.append(df)
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        parts.append(df.withColumn(tag_col, F.lit(i)) if tag_col else df)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
