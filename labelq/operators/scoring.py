@@ -3,8 +3,11 @@
 ``batch_score`` runs a caller-supplied ``scorer(list[str]) -> list[dict]`` inside
 ``mapInPandas``: Spark partitions the rows, each task re-batches its Arrow batches into
 calls of ``batch_size`` texts, carries the row keys through the call (no positional zip),
-retries with back-off and keeps failed rows with ``status = 'failed'``. Task retries repeat
-calls, so outputs are keyed and the caller's sink should be an overwrite of the keyed
+retries with back-off, halves a call that keeps failing until the rows at fault are alone, and
+keeps failed rows with ``status = 'failed'``. Whether a row fails then depends on the row, not on
+the rows that share its call. A pause between calls is a budget of the whole job: rows are dealt to a
+stated number of tasks, each of which leaves that many pauses between its calls. Task
+retries repeat calls, so outputs are keyed and the caller's sink should be an overwrite of the keyed
 result; persist or write the result before it fans out to several sinks.
 """
 
@@ -23,6 +26,7 @@ from labelq.session import ship_package
 BATCH_SIZE = 50  # rows per call (moderation pacing of the reference)
 MAX_RETRIES = 5
 PAUSE_S = 0.5
+PACED_TASKS = 8  # tasks that share the pace of a job
 
 
 class RateLimited(Exception):
@@ -33,6 +37,23 @@ class ServiceError(Exception):
     """Scorer signal: transient service error; wait 5 seconds and retry."""
 
 
+class Pacer:
+    """Lets a task call at most once every ``interval`` seconds, the first time after ``offset``."""
+
+    def __init__(self, interval: float, offset: float = 0.0, sleep: Callable[[float], None] = time.sleep,
+                 clock: Callable[[], float] = time.monotonic):
+        self.interval, self.sleep, self.clock = interval, sleep, clock
+        self.free_at = clock() + offset
+
+    def wait(self) -> None:
+        if self.interval <= 0:
+            return
+        now = self.clock()
+        if now < self.free_at:
+            self.sleep(self.free_at - now)
+        self.free_at = max(now, self.free_at) + self.interval
+
+
 def call_with_retry(
     scorer: Callable[[list], list],
     batch: list,
@@ -52,6 +73,31 @@ def call_with_retry(
     return None, max_retries
 
 
+def call_by_halves(
+    scorer: Callable[[list], list],
+    batch: list,
+    max_retries: int = MAX_RETRIES,
+    sleep: Callable[[float], None] = time.sleep,
+) -> tuple[list, list[int]]:
+    """M3: (result or None, attempts of its last call) of every row of ``batch``.
+
+    A call that fails after its retries, or returns another number of results, is cut in half and each half is called once, and so on
+    down to single rows, which have all retries again. One bad row among n costs at most 2 * max_retries + 2 * log2(n) calls, n
+    bad rows at most n * (max_retries + 2)."""
+    return _halved(scorer, batch, max_retries, max_retries, sleep)
+
+
+def _halved(scorer, batch: list, tries: int, max_retries: int, sleep: Callable[[float], None]) -> tuple[list, list[int]]:
+    results, attempts = call_with_retry(scorer, batch, tries, sleep)
+    if results is not None and len(results) == len(batch):
+        return list(results), [attempts] * len(batch)
+    if len(batch) <= 1:
+        return [None] * len(batch), [attempts] * len(batch)
+    half = len(batch) // 2
+    left, right = (_halved(scorer, part, max_retries if len(part) == 1 else 1, max_retries, sleep) for part in (batch[:half], batch[half:]))
+    return left[0] + right[0], left[1] + right[1]
+
+
 def batch_score(
     df: DataFrame,
     text_col: str,
@@ -63,16 +109,25 @@ def batch_score(
     pause_s: float = PAUSE_S,
     sleep: Callable[[float], None] = time.sleep,
     keep_text: bool = False,
+    paced_tasks: int = PACED_TASKS,
+    skip: str | None = None,
 ) -> DataFrame:
     """M1-M3: score ``text_col`` in calls of ``batch_size`` rows.
 
-    Output: ``key_cols`` + ``result_fields`` + ``status`` ('ok' / 'failed') + ``attempts``.
+    Output: ``key_cols`` + ``result_fields`` + ``status`` ('ok' / 'failed' / 'skipped') + ``attempts`` (of the row's last call).
     Only the key and text columns cross into Python (select before the operator);
-    ``keep_text`` returns the text too, so callers need no join back to the input.
+    ``keep_text`` returns the text too, so callers need no join back to the input. Rows whose boolean column ``skip`` is true
+    pass through the task without a call (their texts need not be sent: make them NULL).
+
+    ``pause_s`` is the least time between two calls of the whole job, retries and halves included. With a pause the rows are dealt by
+    key to ``paced_tasks`` tasks, and each waits ``paced_tasks * pause_s`` between its calls, staggered at the start. The rate
+    holds however many of them run at a time, and is used up when all do; ``pause_s=0`` leaves the rows where they are.
     """
     ship_package(df.sparkSession)
     keys = list(key_cols)
-    src = df.select(*keys, text_col)
+    src = df.select(*keys, text_col, *([F.coalesce(F.col(skip), F.lit(False)).alias("_skip")] if skip else []))
+    if pause_s > 0:
+        src = src.repartition(paced_tasks, *keys)
     if keep_text:
         keys = keys + [text_col]
     key_fields = [src.schema[k] for k in keys]
@@ -84,28 +139,37 @@ def batch_score(
     names = [f.name for f in result_fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        pacer = Pacer(pause_s * paced_tasks, pause_s * (context.partitionId() if context else 0))
         pending: list[pd.DataFrame] = []
         size = 0
 
-        def flush(chunk: pd.DataFrame) -> pd.DataFrame:
-            texts = chunk[text_col].tolist()
-            results, attempts = call_with_retry(scorer, texts, max_retries, sleep)
+        def paced(texts: list) -> list:
+            pacer.wait()
+            return scorer(texts)
+
+        def result(chunk: pd.DataFrame, results: list, status: list[str], attempts: list[int]) -> pd.DataFrame:
             out = chunk[keys].reset_index(drop=True)
-            if results is None or len(results) != len(texts):
-                for n in names:
-                    out[n] = None
-                out["status"] = "failed"
-            else:
-                rows = pd.DataFrame.from_records(results, columns=names)
-                for n in names:
-                    out[n] = rows[n]
-                out["status"] = "ok"
-            out["attempts"] = attempts
-            if pause_s:
-                sleep(pause_s)
+            rows = pd.DataFrame.from_records([r if r is not None else {} for r in results], columns=names).astype(object)
+            for n in names:
+                out[n] = rows[n].where(rows[n].notna(), None)
+            out["status"], out["attempts"] = status, attempts
             return out
 
+        def flush(chunk: pd.DataFrame) -> pd.DataFrame:
+            results, attempts = call_by_halves(paced, chunk[text_col].tolist(), max_retries, sleep)
+            return result(chunk, results, ["failed" if r is None else "ok" for r in results], attempts)
+
         for pdf in batches:
+            if skip:
+                passed = pdf[pdf["_skip"]]
+                if len(passed):
+                    yield result(passed, [None] * len(passed), ["skipped"] * len(passed), [0] * len(passed))
+                pdf = pdf[~pdf["_skip"]]
+            if not len(pdf):
+                continue
             pending.append(pdf)
             size += len(pdf)
             while size >= batch_size:
@@ -129,8 +193,41 @@ def gated_predict(
     constants: dict[str, Column],
 ) -> DataFrame:
     """M5 + P19: rows passing the gate get constants and never reach the model; the rest are
-    scored by ``scored``. The gate filter is applied before the scorer (Catalyst keeps
-    filters above MapInPandas, so the order is explicit)."""
+    scored by ``scored``, any function of rows. The gate filter is applied before the scorer (Catalyst keeps
+    filters above MapInPandas, so the order is explicit). The input is read twice: see :func:`gated_scoring`."""
     gated = df.where(gate).withColumns(constants)
     rest = scored(df.where(~gate))
     return rest.unionByName(gated, allowMissingColumns=True)
+
+
+def gated_scoring(
+    df: DataFrame,
+    gate: Column,
+    text: Column,
+    key_cols: Sequence[str],
+    scorer: Callable[[list], list],
+    result_fields: Sequence[T.StructField],
+    predict: dict[str, Column],
+    constants: dict[str, Column],
+    drop_gated: bool = False,
+    phase_col: str = "phase",
+    phases: tuple[str, str] = ("gated", "scored"),
+    **options,
+) -> DataFrame:
+    """M5 + P19 in one scan: rows with ``gate`` get ``constants`` and never reach the model; for the others ``text`` is scored and
+    ``predict`` turns the ``result_fields`` into the same columns. Gated rows pass through the scorer's task without
+    their text (it is NULL on that side), or are left out before it with ``drop_gated``.
+
+    Output: ``key_cols``, the columns of ``predict``, ``phase`` (which of the two it was) and ``status``. A NULL gate is no gate."""
+    if predict.keys() != constants.keys():
+        raise ValueError(f"constants {sorted(constants)} and predictions {sorted(predict)} differ")
+    closed = F.coalesce(gate, F.lit(False))
+    src = df.where(~closed) if drop_gated else df
+    src = src.withColumns({"_gated": closed, "_text": F.when(~closed, text)})
+    scored = batch_score(src, "_text", [*key_cols, "_gated"], scorer, result_fields, skip="_gated", **options)
+    return scored.select(
+        *key_cols,
+        *[F.when(F.col("_gated"), constants[c]).otherwise(predict[c]).alias(c) for c in predict],
+        F.when(F.col("_gated"), F.lit(phases[0])).otherwise(F.lit(phases[1])).alias(phase_col),
+        "status",
+    )

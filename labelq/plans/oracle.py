@@ -30,6 +30,7 @@ from labelq.functions.rules import KEYWORD_RULES, STAND_IN_DEFAULT, STAND_IN_RUL
 from labelq.functions.text import sql_ascii_digits, sql_py_strip, sql_str
 from labelq.operators.vocab import ISDIGIT_CLASS, MAX_TERM_CHARS
 from labelq.plans import roles as R
+from labelq.plans.constants import GATE_PHASES, GATED_RESPONSE
 
 S = sql_str
 STRIP = sql_py_strip
@@ -576,6 +577,37 @@ def build() -> dict[str, str]:
     q["result_tree"] = f"""SELECT doc_id, source AS model, 'classification' AS method, '{R.MODEL_PROMPT}' AS prompt,
         {verdict(r)} AS pred FROM {RESPONSES}
       UNION ALL SELECT doc_id, source, 'stepwise', '{R.MODEL_PROMPT}', {stepwise(r)} FROM {RESPONSES}"""
+    q["result_layouts"] = f"""SELECT doc_id, source AS model, method, '{R.MODEL_PROMPT}' AS prompt,
+        CASE WHEN method = 'scoring' THEN {score(r)} END AS predicted_score,
+        CASE method WHEN 'classification' THEN (CASE WHEN doc_id % 97 <> 0 THEN {verdict(r)} END) WHEN 'scoring' THEN {score(r)} >= 5
+                    WHEN 'stepwise' THEN {stepwise(r)} ELSE {bracket(r)} END AS pred,
+        CASE method WHEN 'stepwise' THEN md5(nullif(response, '')) WHEN 'fewshot' THEN md5('"' || source || '",' || chr(10)) END AS response_md5,
+        CASE WHEN method = 'classification' AND doc_id % 97 = 0 THEN 1 ELSE 0 END AS n_bad
+      FROM {RESPONSES}, (VALUES ('classification'), ('scoring'), ('stepwise'), ('fewshot')) m(method)"""
+    q["union_files"] = """SELECT doc_id, lang AS language, source, part, 0 AS n_bad,
+        row_number() OVER (ORDER BY part, doc_id) AS Original_ID
+      FROM documents JOIN (VALUES ('en', 0), ('de', 2), ('fr', 3), ('es', 4)) p(lang, part) USING (lang)"""
+    q["ordered_sink"] = f"SELECT doc_id, votes, row_number() OVER (ORDER BY doc_id) AS position FROM {VOTES_FULL}"
+    q["pair_targets"] = f"""SELECT t.doc_id, t.pair_id, i.doc_id IS NOT NULL AS pair_found, i.text AS pair_sent, i.label AS pair_label,
+        {label_text_strict('i.label')} AS pair_label_str
+      FROM (SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN doc_id + 1 ELSE doc_id - 1 END AS pair_id FROM {VOTES_FULL} WHERE gt_majority) t
+      LEFT JOIN {ITEMS} i ON i.doc_id = t.pair_id"""
+    digit = f"regexp_matches(text, {S(ISDIGIT_CLASS)})"
+    size = "(CAST(length(text) AS DOUBLE) / (CAST(length(text) AS DOUBLE) + 1000.0::DOUBLE) >= 0.5)"
+    q["batch_score_failures"] = f"""SELECT doc_id, CASE WHEN {digit} THEN 'failed' ELSE 'ok' END AS status,
+        CASE WHEN {digit} THEN 2 ELSE 1 END AS attempts, CASE WHEN NOT {digit} THEN {size} END AS moderation_flagged FROM documents"""
+    gate = f"coalesce(label = 1 AND {lenient(raw_flag('toxic', 'doc_id'))}, false)"
+    gated = f"""(SELECT doc_id, source, {gate} AS gated, NOT {gate} AND length(text) % 2 = 0 AS pred_is_ambiguous,
+        CASE WHEN {gate} THEN {S(GATED_RESPONSE)}
+             ELSE '考えた結果' || chr(10) || '最終判定: ' || CASE WHEN length(text) % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END END AS llm_raw_response,
+        CASE WHEN {gate} THEN {S(GATE_PHASES[0])} ELSE {S(GATE_PHASES[1])} END AS phase,
+        CASE WHEN {gate} THEN 'skipped' ELSE 'ok' END AS status FROM {ITEMS})"""
+    q["gated_predictions"] = f"SELECT doc_id, source, pred_is_ambiguous, llm_raw_response, phase, status FROM {gated}"
+    q["gated_scoring"] = " UNION ALL ".join(
+        f"""SELECT '{form}' AS form, source, n_gated, tp, fn, fp, tn, n, {METRIC_COLS} FROM (
+          SELECT g.source, CAST(count_if(g.gated) AS BIGINT) AS n_gated, {confusion_cols('v.gt_majority', 'g.pred_is_ambiguous')}
+          FROM {gated} g JOIN {VOTES_FULL} v ON g.doc_id = v.doc_id WHERE {keep} GROUP BY g.source)"""
+        for form, keep in (("keep", "true"), ("drop", "NOT g.gated")))
     return q
 
 
