@@ -6,6 +6,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +33,10 @@ from labelq.operators.scoring import ServiceError, batch_score, gated_scoring
 from labelq.operators.vocab import extract_entities, extract_terms, vocab_long
 from labelq.plans import roles as R
 from labelq.plans.constants import GATE_PHASES, GATED_RESPONSE
-from labelq.session import scratch_path
+from labelq.session import scratch_path, ship_package
 from labelq.sources.by_header import Field, read_by_header
-from labelq.sources.io import read_in_order, write_csv, write_ordered
+from labelq.sources.encodings import read_csv_any_encoding
+from labelq.sources.io import read_in_order, write_csv, write_ordered, write_text
 from labelq.sources.tree import read_partitioned_results, read_result_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,6 +537,37 @@ RAW_PARTS = {
 }
 
 
+#: Fixed values of our own: the encoding in which each language's raw file is written, with a character that no encoding tried before it has.
+RAW_ENCODINGS = {"en": ("utf-8", "é"), "de": ("shift_jis", "文"), "fr": ("cp932", "①"), "es": ("euc-jp", "丁")}
+
+
+def _raw_csv(encoding: str):
+    """Task that writes (doc_id, sent) as CSV lines in ``encoding``; every part file begins with the header."""
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b"doc_id,sent"], pa.binary())], names=["line"])
+        for batch in batches:
+            lines = [f'{i},"{t.replace(chr(34), chr(34) * 2)}"'.encode(encoding) for i, t in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
+
+    return run
+
+
+def read_encodings(spark, sf):
+    """S3 + S1: the texts of four languages as CSV in four encodings (ASCII characters only, but for one that gives the encoding away), read back in
+    byte ranges with the encoding found per file."""
+    ship_package(spark)
+    d = R.table(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    root = scratch_path(spark, "encoded")
+    for lang, (encoding, mark) in RAW_ENCODINGS.items():
+        # The reader takes a line break of either kind within quotes; NUL is no character of a text file.
+        text = F.regexp_replace(F.regexp_replace("text", "[^\\x01-\\x7F]", ""), "\r", "")
+        rows = d.where(F.col("lang") == lang).select("doc_id", F.concat(F.lit(mark), text).alias("sent"))
+        lines = rows.mapInArrow(_raw_csv(encoding), "line binary").select(F.col("line").cast("string").alias("value"))
+        write_text(lines, f"{root}/{lang}")
+    rows = read_csv_any_encoding(spark, f"{root}/*", [Field("doc_id", "bigint"), Field("sent")], glob="part-*")
+    return rows.select("doc_id", F.col("_encoding").alias("encoding"), F.md5(F.encode("sent", "UTF-8")).alias("sent_md5"), F.size("_bad").alias("n_bad"))
+
+
 def union_files(spark, sf):
     """S1 + S2 + S5 + U1 + P2 + P4: raw CSV parts with columns of their own order, stale extra columns and one missing part, bound by header,
     unioned in path order and numbered from 1 in (part, doc_id) order."""
@@ -794,6 +827,7 @@ QUERIES: dict[str, Query] = {
     "pair_missing": pair_missing_q,
     "pair_targets": pair_targets,
     "union_files": union_files,
+    "read_encodings": read_encodings,
     "ordered_sink": ordered_sink,
     "result_layouts": result_layouts,
     "gated_predictions": gated_predictions,
