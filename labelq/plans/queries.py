@@ -88,18 +88,14 @@ def gate_analysis(spark, sf):
     """P14 + P19 + M5 + A12 + A9/A10 per model in one scan and one aggregate: gated rows
     (label 1 and flagged; unmatched moderation = label 0, not flagged) are predicted False
     without reaching the parser; the rest are parsed."""
-    x = R.items_with_label(spark, sf)
-    prompt = R.echo_prompt(F.col("text"), F.col("label"))
-    response = P.strip_echo(F.concat(prompt, R.reply_for(F.col("doc_id"), F.col("text"))), prompt)
+    parsed = R.responses(spark, sf).select("doc_id", "source", P.parse_verdict(F.col("response")).alias("verdict"))
+    x = parsed.join(R.labels(spark, sf), "doc_id", "left")
     label = F.coalesce(F.col("label"), F.lit(0))
     flagged = F.coalesce(N.to_bool_lenient(R.raw_flag_text(F.col("toxic"), F.col("doc_id"))), F.lit(False))
     gated = (label == 1) & flagged
     truth = _votes(spark, sf).select("doc_id", "gt_majority")
     rows = x.select(
-        "doc_id",
-        "source",
-        gated.alias("gated"),
-        F.when(gated, F.lit(False)).otherwise(P.parse_verdict(response)).alias("pred_is_ambiguous"),
+        "doc_id", "source", gated.alias("gated"), F.when(gated, F.lit(False)).otherwise(F.col("verdict")).alias("pred_is_ambiguous"),
     ).join(truth, "doc_id")  # items without a truth are in no denominator
     rows = rows.withColumnRenamed("gt_majority", "gt_is_ambiguous")
     agg = rows.groupBy("source").agg(
@@ -412,10 +408,8 @@ def reevaluate(spark, sf):
 def metrics_both_denominators(spark, sf):
     """Zero-shot label metrics (F1, A10, A11) with both denominators: parse errors counted
     wrong (all rows) and left out (valid rows)."""
-    r = R.responses(spark, sf).where(F.col("label").isNotNull())
-    y = F.col("label") == 1
-    pred = P.parse_label(F.col("response"))
-    x = r.select("source", y.alias("y"), pred.alias("p"))
+    r = R.responses(spark, sf).select("doc_id", "source", P.parse_label(F.col("response")).alias("p"))
+    x = r.join(R.labels(spark, sf).where(F.col("label").isNotNull()), "doc_id").select("source", (F.col("label") == 1).alias("y"), "p")
     valid = F.col("p") != -1
     yp = F.col("p") == 1
     agg = x.groupBy(F.col("source").alias("model")).agg(
@@ -441,9 +435,9 @@ def metrics_both_denominators(spark, sf):
 
 
 def confusion_split(spark, sf):
-    r = R.responses(spark, sf).select("doc_id", "response")
+    r = R.responses(spark, sf).select("doc_id", P.parse_verdict(F.col("response")).alias("pred_is_ambiguous"))
     truth = _votes(spark, sf).select("doc_id", F.col("gt_majority").alias("gt_is_ambiguous"))
-    x = truth.join(r, "doc_id").select("doc_id", "gt_is_ambiguous", P.parse_verdict(F.col("response")).alias("pred_is_ambiguous"))
+    x = truth.join(r, "doc_id")
     return x.withColumn("cell", M.confusion_cell(F.col("gt_is_ambiguous"), F.col("pred_is_ambiguous")))
 
 

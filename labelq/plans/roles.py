@@ -119,11 +119,17 @@ def echo_prompt(text: Column, label: Column) -> Column:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses after echo removal (F9 render, reply, F7 strip)."""
-    x = items_with_label(spark, sf_dir)
-    prompt = echo_prompt(F.col("text"), F.col("label"))
+    """Model responses after echo removal (F9 render, reply, F7 strip): doc_id, source, response. What the prompt says of the label is in the
+    echo, which is removed again, so no label is joined here and texts stay in the scan: parse them before any join."""
+    d = table(spark, sf_dir, "documents")
+    prompt = echo_prompt(F.col("text"), F.lit(None).cast("int"))
     raw = F.concat(prompt, reply_for(F.col("doc_id"), F.col("text")))
-    return x.select("doc_id", "source", "label", strip_echo(raw, prompt).alias("response"))
+    return d.select("doc_id", "source", strip_echo(raw, prompt).alias("response"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label, toxic of the labelled items."""
+    return table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("label"), "toxic")
 
 
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,3 +169,45 @@ def feedback_prompt(a: DataFrame) -> Column:
         label=F.col("target_label_str"),
         comment=F.col("feedback_comment"),
     )
+
+
+# Fixed values of our own: scenes put before an item's text, one by ``doc_id % 8``, so that the rules for Japanese text have something to find.
+SCENES = [
+    "信号が赤信号だったため車のブレーキを踏んだ。",
+    "友達が朝に学校で話した。",
+    "昨日、母親と公園へ行った。",
+    "誰が自宅から来たのか。",
+    "12月の連休に東京の美術館で働いた。",
+    "田中さんは深夜まで会議室にいた。",
+    "彼は部屋で休んだ。",
+    "",
+]
+# Fixed values of our own: words of the scenes with the tags that a named-entity model of each of two label sets and a morphological analyser give them.
+TAGGED_WORDS = [
+    ("朝", "TIME", "TIM", "名詞,普通名詞,副詞可能"),
+    ("昨日", "DATE", "DATE", "名詞,普通名詞,副詞可能"),
+    ("連休", "EVENT", "MISC", "名詞,普通名詞,一般"),
+    ("深夜", "TIME", "TIM", "名詞,時相名詞,*"),
+    ("学校", "FACILITY", "FAC", "名詞,普通名詞,一般"),
+    ("公園", "FACILITY", "FAC", "名詞,普通名詞,一般"),
+    ("東京", "GPE", "LOC", "名詞,固有名詞,地名"),
+    ("部屋", "PRODUCT", "MISC", "名詞,普通名詞,一般"),
+    ("田中", "PERSON", "PER", "名詞,固有名詞,人名"),
+    ("彼", "PERSON", "PSN", "代名詞,*,*"),
+    ("誰", "CARDINAL", "MISC", "代名詞,*,*"),
+    ("友達", "NORP", "MISC", "名詞,普通名詞,一般"),
+    ("母親", "NORP", "MISC", "名詞,普通名詞,一般"),
+]
+
+
+def scene(key: Column) -> Column:
+    expr = None
+    for i, s in enumerate(SCENES):
+        expr = F.when(key % len(SCENES) == i, F.lit(s)) if expr is None else expr.when(key % len(SCENES) == i, F.lit(s))
+    return expr
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a scene before their text: doc_id, text, label."""
+    x = items_with_label(spark, sf_dir)
+    return x.select("doc_id", F.concat(scene(F.col("doc_id")), F.lit("\n"), F.col("text")).alias("text"), "label")

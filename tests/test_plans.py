@@ -64,3 +64,20 @@ def test_scans_prune_columns(static_plans):
     # only the join key is read from documents, never the text
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "documents" in line]
     assert scans and all("text" not in s.split("]")[0] for s in scans)
+
+
+@pytest.mark.parametrize("name", [
+    "parse_label", "parse_verdict", "parse_bracket", "parse_stepwise", "parse_score", "parse_yes_no", "confusion_by_run", "metrics_by_run",
+    "reevaluate", "confusion_split", "gate_analysis", "metrics_both_denominators"])
+def test_no_text_in_a_shuffle(spark, static_plans, name):
+    """Replies are parsed where documents are scanned: no exchange has a text or response among its columns."""
+    node = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan()
+    todo, shuffles = [node], 0
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            shuffles += 1
+            columns = {node.output().apply(i).name() for i in range(node.output().size())}
+            assert not columns & {"text", "response", "raw", "prompt"}, columns
+    assert shuffles or name.startswith("parse_")
