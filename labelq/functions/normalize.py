@@ -4,6 +4,7 @@ observed counts (P10), structure checks and row counts without a second scan (P2
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from operator import or_
 
@@ -147,5 +148,5 @@ def check_rater_columns(df: DataFrame, fragment: str, raters: list[str]) -> list
     returns the columns found (the run continues, as in the reference)."""
     found = [c for c in df.columns if fragment in c and any(c.split(fragment)[0].rstrip("_") == r for r in raters)]
     if len(found) != len(raters):
-        print(f"warning: {len(found)} flag columns found for {len(raters)} configured raters")
+        warnings.warn(f"{len(found)} flag columns found for {len(raters)} configured raters", stacklevel=2)
     return found

@@ -21,16 +21,21 @@ from pyspark.sql import types as T
 from labelq.functions.rules import EXCLUDED_TERMS, KEYWORD_RULES
 from labelq.functions.text import col_of, py_strip
 from labelq.session import ship_package
+from labelq.sources.io import write_ordered
 
 MAX_TERM_CHARS = 20
 # Characters for which Python's str.isdigit() is true (superscripts too), built by rule.
 ISDIGIT_CLASS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(sys.maxunicode + 1) if chr(c).isdigit()) + "]"
 
 
+def all_digits(term) -> F.Column:
+    return col_of(term).rlike(f"^{ISDIGIT_CLASS}+$")
+
+
 def term_ok(term) -> F.Column:
     """F16: non-empty, shorter than 20 characters, not all digits."""
     t = col_of(term)
-    return (F.length(t) > 0) & (F.length(t) < MAX_TERM_CHARS) & ~t.rlike(f"^{ISDIGIT_CLASS}+$")
+    return (F.length(t) > 0) & (F.length(t) < MAX_TERM_CHARS) & ~all_digits(t)
 
 
 _KEYWORD_GROUP = re.compile(r"^\(\^\|\\s\|\[\^[^\]]*\]\)\(([^()\\\[\].*+?{}]*)\)")
@@ -62,9 +67,10 @@ def extract_terms(
     rules: Sequence[tuple[str, str]] = KEYWORD_RULES,
     excluded: dict[str, list[str]] = EXCLUDED_TERMS,
     keep_cols: Sequence[str] = (),
+    filter_terms: bool = True,
 ) -> DataFrame:
-    """F15 + F16: (keep_cols..., category, term) for every match, group 2 of each rule,
-    stripped and filtered."""
+    """(keep_cols..., category, term) for every match, group 2 of each rule, stripped; F16 with ``filter_terms`` (for rules
+    that find open-ended terms leave it off: it drops terms of 20 characters and more, and digits)."""
     text = F.col(text_col)
     structs = []
     for cat, pat in rules:
@@ -77,7 +83,7 @@ def extract_terms(
     per_rule = df.select(*keep_cols, F.inline(arr))
     exploded = per_rule.select(*keep_cols, "category", F.explode("terms").alias("term"))
     terms = exploded.withColumn("term", py_strip("term"))
-    out = terms.where(term_ok("term"))
+    out = terms.where(term_ok("term") if filter_terms else F.length("term") > 0)
     for cat, words in excluded.items():
         out = out.where(~((F.col("category") == cat) & F.col("term").isin(*words)))
     return out
@@ -91,13 +97,25 @@ def vocab_long(terms: DataFrame, *more: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def vocab_pools(long: DataFrame) -> DataFrame:
-    """A17 / O6 at the JSON edge: sorted unique list and its size per category."""
+MAX_POOL = 1_000_000
+
+
+def vocab_pools(long: DataFrame, max_terms: int = MAX_POOL) -> DataFrame:
+    """A17 / O6 at the JSON edge: sorted unique list and its size per category. A list is one row, so pools are counted first; one
+    of more than ``max_terms`` terms is an error: write the long form with :func:`write_pools` instead."""
+    large = long.groupBy("category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_terms).select("category").collect()
+    if large:
+        raise ValueError(f"pools of more than {max_terms} terms: {sorted(r[0] for r in large)}")
     return long.groupBy("category").agg(
         F.array_sort(F.collect_set("term")).alias("terms"), F.count(F.lit(1)).alias("size")
     )
 
 
+def write_pools(long: DataFrame, path: str, fmt: str = "json") -> None:
+    """A17 / K3 / O6 for pools of any size: (category, term) rows in files sorted by both, whose names carry the order."""
+    write_ordered(long.select("category", "term"), path, ["category", "term"], fmt=fmt)
+
+
 def regex_extractor(rules: Sequence[tuple[str, str]] = KEYWORD_RULES) -> Callable[[str], list]:
     """Default M10 extractor: the F15 rules in Python, tag = category."""
     compiled = [(cat, re.compile(pat), tuple(dict.fromkeys(rule_keywords(pat) or ()))) for cat, pat in rules]

@@ -371,7 +371,7 @@ def result_layouts(spark, sf):
     root = scratch_path(spark, "layouts")
     for method, columns in _layouts().items():
         rows = r.select(*[c.alias(n) for n, c in columns], F.col("source").alias("model"), F.lit(method).alias("method"), F.lit(R.MODEL_PROMPT).alias("prompt"))
-        write_csv(rows.repartition("model"), root, mode="append", partition_by=["model", "method", "prompt"])
+        write_csv(rows, root, mode="append", partition_by=["model", "method", "prompt"])
     back = read_result_tree(spark, root, RESULT_FIELDS)
     return back.select(
         F.col("Original_ID").alias("doc_id"), "model", "method", "prompt", "predicted_score",

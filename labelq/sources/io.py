@@ -7,7 +7,6 @@ newlines and doubled quotes). A UTF-8 BOM is stripped by Spark's reader in both
 
 from __future__ import annotations
 
-import os
 import warnings
 from collections.abc import Sequence
 from functools import reduce
@@ -78,13 +77,20 @@ def read_templates(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
+def clustered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` dealt by ``cols`` so that a writer opens few files per value: AQE splits a value that is too large for a task and joins
+    small ones."""
+    return df.hint("rebalance", *cols)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """K1 / K5 / K6 / K7 / K9: CSV sink; ``partition_by`` writes one folder per value
-    (confusion cell, quadrant, target slot, category, or gt_type/model/method/prompt)."""
-    w = df.write.mode(mode).options(**CSV_WRITE)
+    (confusion cell, quadrant, target slot, category, or gt_type/model/method/prompt), rows
+    clustered by it. Spark's committer publishes the files when the whole job has succeeded."""
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
+        clustered(df, partition_by).write.mode(mode).options(**CSV_WRITE).partitionBy(*partition_by).csv(path)
+    else:
+        df.write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
 def write_ordered(df: DataFrame, path: str, order_cols: Sequence[str], fmt: str = "csv", mode: str = "overwrite", files: int | None = None) -> None:
@@ -134,15 +140,24 @@ def report_column(df: DataFrame, title: Column, fields: Sequence[tuple[str, str]
     return F.concat_ws("\n", *lines)
 
 
-def report_lines(df: DataFrame, title: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
-    """K4: one text report per row."""
-    return df.select(report_column(df, F.lit(title), fields).alias("report"))
+def sections(df: DataFrame, run: Sequence[str], order: int, lines: Sequence[Column | str]) -> DataFrame:
+    """K4: one section per row of ``df``: the run's keys, where it stands in the report, and its lines as text."""
+    parts = [F.lit(x) if isinstance(x, str) else x for x in lines]
+    return df.select(*run, F.lit(order).alias("ord"), F.concat_ws("\n", *parts).alias("text"))
+
+
+def figure(label: str, value: Column, digits: int | None = None) -> Column:
+    """K4: ``label : value``; numbers with ``digits`` decimals, NULL as nan."""
+    text = F.format_number(value, digits) if digits is not None else value.cast("string")
+    return F.concat(F.lit(f" {label:<24}: "), F.coalesce(text, F.lit("nan")))
+
+
+def assemble(parts: DataFrame, run: Sequence[str]) -> DataFrame:
+    """K4: one report per run of its sections (keys, ord, text), in order, blank lines between; a run has a handful of them."""
+    held = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return parts.groupBy(*run).agg(F.array_join(F.transform(held, lambda s: s["text"]), "\n\n").alias("report"))
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K4 / K8: text sink of a one-column frame (reports, assembled prompts)."""
     df.write.mode(mode).text(path)
-
-
-def split_paths(base: str, names: Sequence[str]) -> dict[str, str]:
-    return {n: os.path.join(base, n) for n in names}

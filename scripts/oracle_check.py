@@ -15,8 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
-from labelq.plans.oracle import ORACLE_SQL  # noqa: E402
-from labelq.plans.queries import QUERIES  # noqa: E402
+from labelq.plans.registry import ORACLE_SQL, QUERIES  # noqa: E402
 from labelq.session import build_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

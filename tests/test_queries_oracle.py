@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
-from labelq.plans.queries import QUERIES as OWN_QUERIES
+from labelq.plans.registry import QUERIES as OWN_QUERIES
 from tests.conftest import SF001
 
 TABLES = "events documents benchmark labels conversations".split()
