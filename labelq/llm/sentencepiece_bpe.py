@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from labelq.llm.common import bounded, read, small_batches
 
 MARK = "▁"
-#: Parts remembered per task before the memory is cleared, and the longest one remembered.
-CACHE_PARTS = 200_000
+#: Parts remembered per task (about 150 MB), and the longest one remembered.
+CACHE_PARTS = 400_000
 CACHE_CHARS = 48
 #: Pair checks remembered per task.
 CACHE_PAIRS = 400_000
@@ -70,15 +70,32 @@ class Codec:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
+        # Tokens are numbers: per token its string, size, next shorter token at the same place (-1: none), ids as text and surface.
+        self.token: dict[str, int] = {}
+        self.string: list[str] = []
+        self.size: list[int] = []
+        self.shorter: list[int] = []
+        self.written: list[tuple[str, int, str]] = []
         # Pieces that their own merges do not rebuild never occur in an encoding.
-        self.matcher = ahocorasick.Automaton()
-        for p in self.rank:
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in sorted(self.rank, key=len):
             if len(p) == 1 or self.merge(p) == [p]:
-                self.matcher.add_word(p, len(p))
+                self.matcher.add_word(p, self.add(p))
         self.matcher.make_automaton()
-        self.usable = {p for p in self.rank if p in self.matcher}
+
+    def add(self, p: str) -> int:
+        """The number of a new token: a piece, or a character that no piece covers."""
+        self.token[p] = k = len(self.string)
+        self.string.append(p)
+        self.size.append(len(p))
+        self.shorter.append(next((self.token[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.token), -1))
+        i = self.ids.get(p)
+        ids = [self.byte_ids[b] for b in p.encode()] if i is None else [i]
+        self.written.append((" ".join(map(str, ids)), len(ids), self.surface(ids)))
+        return k
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves, for short strings: best score first, then leftmost."""
@@ -94,67 +111,81 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether re-merging the joined strings of two tokens gives that pair back; remembered."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        a, b = self.string[left], self.string[right]
+        known = self.pairs[left << 32 | right] = self.merge(a + b) == [a, b]
         return known
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of ``text`` (space marks in place)."""
+    def tokens(self, text: str) -> list[int]:
+        """The tokens of ``text`` (space marks in place)."""
         n = len(text)
-        longest = [1] * n
-        for end, size in self.matcher.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        pos, size = 0, longest[0] if n else 0
+        size, shorter, known = self.size, self.shorter, self.pairs
+        longest = [-1] * n
+        for end, k in self.matcher.iter(text):  # a later end at the same start is a longer match
+            longest[end - size[k] + 1] = k
+        if -1 in longest:
+            token = self.token
+            for i, k in enumerate(longest):
+                if k < 0:
+                    k = token.get(text[i])
+                    longest[i] = self.add(text[i]) if k is None else k
+        failed = None  # a bit per position, once one has failed
+        out: list[int] = []
+        pos, last, k = 0, -1, longest[0] if n else -1
         while pos < n:
-            end = pos + size
-            token = text[pos:end]
-            fits = not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], token))
-            if fits:
-                out.append(token)
-                pos = end
-                if pos < n:
-                    size = longest[pos]
-                continue
-            size -= 1
-            while size > 1 and text[pos:pos + size] not in self.usable:
-                size -= 1
-            if size < 1:
-                # Nothing can start here after the last piece: mark the position, retry that piece shorter.
+            end = pos + size[k]
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                if last >= 0:
+                    fits = known.get(last << 32 | k)
+                    if fits is None:
+                        fits = self.compatible(last, k)
+                else:
+                    fits = True
+                if fits:
+                    out.append(k)
+                    pos, last = end, k
+                    if pos < n:
+                        k = longest[pos]
+                    continue
+            k = shorter[k]
+            if k < 0:
+                # Nothing can start here after the last token: mark the position, retry that token shorter.
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError("no valid encoding")
-                size = len(out.pop())
-                pos -= size
+                while k < 0:
+                    if not out:
+                        raise ValueError("no valid encoding")
+                    back = out.pop()
+                    pos -= size[back]
+                    k = shorter[back]
+                    if k < 0:
+                        failed[pos >> 3] |= 1 << (pos & 7)
+                last = out[-1] if out else -1
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of ``text`` (space marks in place)."""
+        return [self.string[k] for k in self.tokens(text)]
+
     def part(self, part: str) -> tuple[str, int, str]:
         """Ids joined by spaces, their number, and the decoded text of one part."""
-        ids: list[int] = []
-        for p in self.pieces(part):
-            i = self.ids.get(p)
-            if i is None:
-                ids += [self.byte_ids[b] for b in p.encode()]
-            else:
-                ids.append(i)
-        return " ".join(map(str, ids)), len(ids), self.surface(ids)
+        ids, n, text = zip(*[self.written[k] for k in self.tokens(part)])
+        return " ".join(ids), sum(n), "".join(text)
 
     def word(self, x: str) -> tuple[str, int, str]:
-        """``part`` of one space mark and ``x``, remembered unless it is long."""
+        """``part`` of one space mark and ``x``, remembered unless it is long. The memory has two halves: words not used while one half fills go."""
         known = self.words.get(x)
         if known is None:
-            known = self.part(MARK + x)
+            known = self.older.get(x) or self.part(MARK + x)
             if len(x) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_PARTS:
-                    self.words.clear()
+                if 2 * len(self.words) >= CACHE_PARTS:
+                    self.words, self.older = {}, self.words
                 self.words[x] = known
         return known
 
