@@ -12,13 +12,14 @@ vectors exactly; recall is the mean over components, so one large group counts o
 ``min_recall`` the lists are doubled and the descent goes on; after the last doubling all vectors are
 compared exactly, in blocks.
 
-Equal vectors form one class, whose smallest vec_id stands for it, so copies are never expanded into pairs.
-Cosines that decide a link are computed in double precision from the given components.
+Equal vectors form one class, a node of the graph, so copies are never expanded into pairs.  Vectors are compared with those of
+their length; lengths with at most BLOCK distinct vectors are compared directly.  Cosines that decide a link are computed in
+double precision from the given components.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing, as
-does one whose length differs from the most common length; a null vec_id is returned with no links and a null
-component; repeated rows are copies (equal vec_ids count as vectors of their own); empty tables give
-empty results; extra columns are ignored.
+does one with a null vec_id, which is returned with a null component; repeated rows are copies; rows of different vectors that share a
+vec_id are vectors of their own, each linked as its own components say; equal cosines need no order, for every link counts; empty
+tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelq.llm.common import materialize, read
 from labelq.llm.graph import components
+from labelq.operators.ids import dense_ids, range_levels
 
 NEIGHBOURS = 10
 STARTS = 4
@@ -49,6 +51,13 @@ MAX_DOUBLINGS = 3
 SLACK = 0.005
 
 
+def usable() -> Column:
+    """Whether a row has an id and a vector that can be compared."""
+    e = F.col("embedding")
+    number = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(F.col("vec_id").isNotNull() & (F.size(e) > 0) & number & F.exists(e, lambda v: v != 0), F.lit(False))
+
+
 def unit_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
     """vec_id, key (the vector's doubles) and codes (STARTS sign codes) of the usable rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +71,7 @@ def unit_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
                 names=["vec_id", "key", "codes"])
 
     e = F.col("embedding")
-    number = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = F.col("vec_id").isNotNull() & (F.size(e) == dimension) & number & F.exists(e, lambda v: v != 0)
-    return vectors.where(usable).select("vec_id", e.cast("array<double>").alias("e")).mapInArrow(
+    return vectors.where(usable() & (F.size(e) == dimension)).select("vec_id", e.cast("array<double>").alias("e")).mapInArrow(
         run, "vec_id long, key binary, codes array<long>")
 
 
@@ -341,15 +348,39 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHBOURS, min_recall: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    common = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                              F.col("vec_id").isNotNull().alias("kept"))
-    rows = materialize(unit_vectors(vectors, common["d"]), "nnd-rows")
-    # Equal vectors; a repeated vec_id is one node, with its smallest vector standing for it in the graph.
-    classes = rows.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min("codes").alias("codes"))
-    reps = materialize(classes.groupBy("vec_id").agg(F.min("key").alias("key"), F.min_by("copies", "key").alias("copies"), F.min_by("codes", "key").alias("codes")),
-                       "nnd-reps")
+    sizes = {r["d"]: r["n"] for r in vectors.where(usable()).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    # Vectors of another length are another space; one alone has nothing to be compared with.
+    shared = sorted(d for d, n in sizes.items() if n > 1)
+    apart = vectors.where(~(usable() & F.size("embedding").isin(*shared))) if shared else vectors
+    out = apart.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in shared:
+        out = out.unionByName(_of_length(vectors, d, sizes[d], threshold, k, min_recall))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _of_length(vectors: DataFrame, dimension: int, n: int, threshold: float, k: int, min_recall: float) -> DataFrame:
+    """vec_id, n_links, component_id of the ``n`` usable rows of one length."""
+    rows = materialize(unit_vectors(vectors, dimension), "nnd-rows")
+    # A node is a distinct vector, numbered in the order of the smallest vec_id it goes by, so the smallest node of a component has
+    # its smallest vec_id, also where rows of different vectors share a vec_id.
+    classes = rows.groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.min("codes").alias("codes"))
+    classes = materialize(dense_ids(classes, ["least_id", "key"], range_levels("least_id"), id_col="vec_id"), "nnd-classes")
+    reps = classes.select("vec_id", "key", "copies", "codes")
+    nodes, counts = _small(reps, threshold) if n <= BLOCK else _linked(reps, threshold, k, min_recall)
+    # All rows: their class, the class's links and its component.
+    names = classes.select(F.col("vec_id").alias("component"), F.col("least_id").alias("component_id"))
+    per = nodes.join(counts, "vec_id", "left").join(names, "component") \
+        .select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
+    return rows.select("vec_id", "key").join(per, "key").select("vec_id", "n_links", "component_id")
+
+
+def _small(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes with components and counts (vec_id, n) of at most BLOCK vectors: all are compared."""
+    return compared(reps.select("vec_id", "key", "copies", F.col("vec_id").alias("component")), threshold)
+
+
+def _linked(reps: DataFrame, threshold: float, k: int, min_recall: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes with components and counts (vec_id, n), by descent, completion of saturated components and audit."""
     lists = materialize(best_lists(start_edges(reps, k).withColumn("new", F.lit(1)), k), "nnd-lists")
     for doubling in range(MAX_DOUBLINGS + 1):
         for _ in range(MAX_ROUNDS):
@@ -370,18 +401,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = NEIGHB
         counts = listed.unionByName(enlarged_counts(members, threshold)).groupBy("vec_id").agg(F.max("n").alias("n"))
         counts = materialize(counts, "nnd-counts")
         if audit(nodes, counts, threshold) >= min_recall:
-            break
+            return nodes, counts
         k *= 2
-    else:
-        nodes, counts = compared(nodes, threshold)
-    # All rows: their class, the class's links and its component.
-    per = nodes.join(counts, "vec_id", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
-    found = rows.join(per, "key").select(F.col("vec_id").alias("_id"), "n", "component")
-    found = found.groupBy("_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = vectors.select("vec_id").join(found, F.col("vec_id") == F.col("_id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return compared(nodes, threshold)
 
 
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
