@@ -116,9 +116,10 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, max_step
     return joined.select("_src", "size", "n", F.round(rate, 9).alias("rate"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, rate`` of each row of ``docs`` (doc_id, text, source)."""
-    rows = materialize(docs.select("doc_id", _source_key(F.col("source")).alias("_src"), F.size(words(F.col("text"))).cast("long").alias("size")),
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0,
+             keys: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, rate`` of each row of ``docs`` (doc_id, text, source), and its ``keys``."""
+    rows = materialize(docs.select("doc_id", *keys, _source_key(F.col("source")).alias("_src"), F.size(words(F.col("text"))).cast("long").alias("size")),
                        "mix-sizes")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     salted = materialize(rows.groupBy("_src", "size", "_salt").agg(F.count("*").alias("n")), "mix-salted")
@@ -135,13 +136,13 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share:
     by_salt = Window.partitionBy("_src", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     earlier = salted.withColumn("_before", F.coalesce(F.sum("n").over(by_salt), F.lit(0)))
     quota = earlier.join(quota, ["_src", "size"]).select("_src", "size", "_salt", "_before", "rate", "_each", "_extra")
-    rank = F.row_number().over(Window.partitionBy("_src", "size", "_salt").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("_src", "size", "_salt").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", *keys))
     out = rows.withColumn("_rank", rank).join(quota, ["_src", "size", "_salt"], "left")
     extra = F.when(F.col("_before") + F.col("_rank") <= F.col("_extra"), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("_each") + extra).otherwise(1).cast("long")
-    out = out.select("doc_id", "size", "_src", copies.alias("copies"), F.coalesce("rate", F.lit(1.0)).alias("rate"))
+    out = out.select("doc_id", *keys, "size", "_src", copies.alias("copies"), F.coalesce("rate", F.lit(1.0)).alias("rate"))
     return out.join(targets.select("_src", "source_size", "target"), "_src") \
-        .select("doc_id", "size", "source_size", "target", "copies", "rate")
+        .select("doc_id", *keys, "size", "source_size", "target", "copies", "rate")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
