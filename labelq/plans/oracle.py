@@ -588,7 +588,7 @@ def build() -> dict[str, str]:
         row_number() OVER (ORDER BY part, doc_id) AS Original_ID
       FROM documents JOIN (VALUES ('en', 0), ('de', 2), ('fr', 3), ('es', 4)) p(lang, part) USING (lang)"""
     q["read_encodings"] = """SELECT doc_id, encoding, md5(mark || regexp_replace(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g'), '\\r', '', 'g')) AS sent_md5, 0 AS n_bad
-      FROM documents JOIN (VALUES ('en', 'utf-8', 'é'), ('de', 'shift_jis', '文'), ('fr', 'cp932', '①'), ('es', 'euc-jp', '丁')) e(lang, encoding, mark) USING (lang)
+      FROM documents JOIN (VALUES ('en', 'utf-8', 'é'), ('de', 'shift_jis', '文'), ('fr', 'cp932', '①'), ('es', 'euc-jp', '癰')) e(lang, encoding, mark) USING (lang)
       WHERE text IS NOT NULL AND doc_id IS NOT NULL"""
     q["ordered_sink"] = f"SELECT doc_id, votes, row_number() OVER (ORDER BY doc_id) AS position FROM {VOTES_FULL}"
     q["pair_targets"] = f"""SELECT t.doc_id, t.pair_id, i.doc_id IS NOT NULL AS pair_found, i.text AS pair_sent, i.label AS pair_label,

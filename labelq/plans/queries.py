@@ -532,7 +532,7 @@ RAW_PARTS = {
 
 
 #: Fixed values of our own: the encoding in which each language's raw file is written, with a character that no encoding tried before it has.
-RAW_ENCODINGS = {"en": ("utf-8", "é"), "de": ("shift_jis", "文"), "fr": ("cp932", "①"), "es": ("euc-jp", "丁")}
+RAW_ENCODINGS = {"en": ("utf-8", "é"), "de": ("shift_jis", "文"), "fr": ("cp932", "①"), "es": ("euc-jp", "癰")}
 
 
 def _raw_csv(encoding: str):

@@ -13,7 +13,7 @@ from labelq.sources.encodings import ENCODINGS, cut_records, decode_first, faili
 
 SCHEMA = T.StructType([T.StructField("ID", T.LongType()), T.StructField("sent", T.StringType())])
 #: A character that makes a strict decode by the encodings before fail.
-MARK = {"utf-8": "é", "shift_jis": "文", "cp932": "①", "euc-jp": "丁"}
+MARK = {"utf-8": "é", "shift_jis": "文", "cp932": "①", "euc-jp": "癰"}
 
 
 @pytest.fixture
