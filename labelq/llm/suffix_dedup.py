@@ -14,10 +14,14 @@ smaller doc_id.  Three passes over the documents:
 3. The covered intervals join their documents, which are cut.
 
 A minimiser with HOT or more different runs (a frequent line with other neighbours in every document) is not dealt as
-one: each of its strings is dealt alone, by its own hash, so equal strings still meet and different ones spread.
+one: each of its strings is dealt alone, by its own hash, so equal strings still meet and different ones spread.  Most
+of those strings are a border of the frequent line and found once, so a pass of their own counts them by hash in a
+second bitmap of the same size, and only the ones found in two or more documents travel.
 
 Equal runs are collapsed before the shuffle and before sorting, so a passage in a third of all documents costs one run
-per task.  The bitmap only skips work: strings that pass it by chance are told apart by the suffix array.
+per batch.  A batch judges its equal runs itself: all but those of its smallest document are covered whatever the other
+batches hold, and leave as merged intervals; the smallest document's go on to the suffix array.  The bitmaps only
+skip work: strings that pass them by chance are told apart by the suffix array.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH stay whole; documents with a
 null doc_id stay whole and remove nothing elsewhere; rows with equal doc_id do not affect each other, repeated
@@ -29,10 +33,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,24 +225,68 @@ def different_runs(raw: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.nd
     return names[count > 1], count[count > 1]
 
 
-def _bitmap(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bits of the minimisers that occur in two or more rows (at most 2 ** BITMAP_BITS / 8 bytes reach the driver); the sorted
-    upper bits of the hot ones, at most one per HOT runs of the table; and how many lower bits those lack."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(8, (total // BUCKET_BYTES).bit_length()), BITMAP_BITS - 3)
-    gram = min(GRAM, length)
+def string_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """HASH_BITS-bit hashes of the strings of ``length`` (8 or more) bytes that start at ``at``."""
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    value = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for step in sorted({*range(0, length - 7, 8), length - 8}):
+            w = np.ascontiguousarray(words[at + step]).view(np.uint64).ravel()
+            value = (value ^ (value >> np.uint64(29)) ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        return mix(value) >> np.uint64(64 - HASH_BITS)
+
+
+def starts_within(begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of all strings of ``length`` bytes in the runs [begin, end), and the number of each one's run."""
+    size = end - begin - length + 1
+    run = np.repeat(np.arange(len(begin)), size)
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + begin[run], run
+
+
+def is_hot(hashes: np.ndarray, hot: np.ndarray, lacking: int) -> np.ndarray:
+    """Which of the hashes have their upper bits among the sorted ``hot``."""
+    if not len(hot):
+        return np.zeros(len(hashes), bool)
+    name = hashes >> np.uint64(lacking)
+    return hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+
+
+def in_bitmap(seen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(HASH_BITS - BITMAP_BITS)
+    return ((seen[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def merged(doc: np.ndarray, key: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals [a, z) of texts (doc, key), those that touch as one."""
+    if not len(doc):
+        return doc, key, a, z
+    order = np.lexsort((a, key, doc))
+    doc, key, a, z = doc[order], key[order], a[order], z[order]
+    text = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))])
+    span = int(z.max()) + 1
+    reach = np.maximum.accumulate(z + text * span)  # the furthest end so far of the same text
+    heads = np.flatnonzero(np.concatenate([[True], (a + text * span)[1:] > reach[:-1]]))
+    last = np.append(heads[1:], len(a)) - 1
+    return doc[heads], key[heads], a[heads], reach[last] - text[heads] * span
+
+
+Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _counted(docs: DataFrame, bits: int, items: Callable[[np.ndarray, np.ndarray], Found]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the hashes that occur in two or more rows (2 ** BITMAP_BITS / 8 bytes reach the driver) and the sorted
+    upper bits of the hot ones, at most one per HOT runs of the table.  ``items`` gives (hash, text number) of all that is counted and
+    (hash, different runs) of what may be hot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(length, gram)
         for batch in batches:
             found, hot, hot_count = [], [], []
             raw, offsets = text_bytes(batch.column(0))
-            for hashes, text, begin, end in runs(raw, offsets):
-                names, many = different_runs(raw, hashes, begin, end)
+            for hashes, text, names, many in items(raw, offsets):
                 hot.append(names)
                 hot_count.append(many)
                 found.append(np.unique(hashes + (text.astype(np.uint64) << np.uint64(HASH_BITS))))
-            if not found:
+            if not sum(map(len, found)):
                 continue
             low = np.uint64((1 << HASH_BITS) - 1)
             h = np.sort(np.unique(np.concatenate(found)) & low)
@@ -270,28 +319,67 @@ def _bitmap(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, int]:
     for bucket, part, names in rows.toLocalIterator():
         out[bucket * step:(bucket + 1) * step] = np.frombuffer(part, np.uint8)
         hot.append(np.frombuffer(names, np.uint32).astype(np.uint64) + np.uint64(bucket << width))
-    return out, np.sort(np.concatenate(hot)), HASH_BITS - bits - width
+    return out, np.sort(np.concatenate(hot))
+
+
+def _filters(docs: DataFrame, length: int) -> tuple[Broadcast, Broadcast]:
+    """Broadcast (bitmap of repeated minimisers, hot minimisers, how many lower bits those lack) and the bitmap of the repeated
+    strings of hot minimisers (empty without hot ones): 2 ** BITMAP_BITS / 8 bytes each."""
+    context = docs.sparkSession.sparkContext
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(8, (total // BUCKET_BYTES).bit_length()), BITMAP_BITS - 3)
+    gram, lacking = min(GRAM, length), HASH_BITS - bits - min(32, HASH_BITS - bits)
+
+    def minimisers(raw: np.ndarray, offsets: np.ndarray) -> Found:
+        for hashes, text, begin, end in Runs(length, gram)(raw, offsets):
+            names, many = different_runs(raw, hashes, begin, end)
+            yield hashes, text, names, many
+
+    seen, hot = _counted(docs, bits, minimisers)
+    first = context.broadcast((seen, hot, lacking))
+    if not len(hot):
+        return first, context.broadcast(np.zeros(0, np.uint8))
+
+    def strings(raw: np.ndarray, offsets: np.ndarray) -> Found:
+        _, hot, lacking = first.value
+        none = np.zeros(0, np.uint64)
+        for hashes, text, begin, end in Runs(length, gram)(raw, offsets):
+            alone = np.flatnonzero(is_hot(hashes, hot, lacking))
+            at, run = starts_within(begin[alone], end[alone], length)
+            yield string_hashes(raw, at, length), text[alone][run], none, none.astype(np.int64)
+
+    return first, context.broadcast(_counted(docs, bits, strings)[0])
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, key (xxhash64 of the text), spans (begin, end): covered byte intervals, not yet merged."""
     docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("text", "doc_id", F.xxhash64("text").alias("key"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(docs, length))
+    first, second = _filters(docs, length)
     gram = min(GRAM, length)
+    columns = ["h", "run", "ids", "keys", "starts", "ends"]
+    longs = pa.list_(pa.int64())
 
     def packed(grouped: dict) -> Iterator[pa.RecordBatch]:
+        """The runs with the places in their smallest document; then, without a run, the merged intervals of the others."""
         items = list(grouped.items())
         for lo, hi in slices(len(items), 20000):
             part = items[lo:hi]
-            places = [x[1] for x in part]
+            sizes = np.array([len(x[1]) for x in part])
+            places = np.array([y for x in part for y in x[1]], np.int64).reshape(-1, 3)
+            which = np.repeat(np.arange(len(part)), sizes)
+            least = np.minimum.reduceat(places[:, 0], np.cumsum(sizes) - sizes)
+            own = places[:, 0] == least[which]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(which[own], minlength=len(part)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
-                 *[pa.array([[y[i] for y in x] for x in places], pa.list_(pa.int64())) for i in range(3)]],
-                names=["h", "run", "ids", "keys", "starts"])
+                 *[pa.ListArray.from_arrays(bounds, pa.array(places[own, i])) for i in range(3)], pa.nulls(len(part), longs)], names=columns)
+            size = np.array([len(x[0][1]) for x in part], np.int64)[which]
+            doc, key, a, z = merged(*places[~own].T, places[~own, 2] + size[~own])
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.nulls(1, pa.binary()), *[pa.array([x], longs) for x in (doc, key, a, z)]], names=columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, (seen, hot, lacking) = Runs(length, gram), bitmap.value
-        shift = np.uint64(HASH_BITS - BITMAP_BITS)
+        runs, (seen, hot, lacking), repeated = Runs(length, gram), first.value, second.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
             ids, keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -299,19 +387,16 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             grouped: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             data = raw.tobytes() if raw.base is None else memoryview(raw)
             for hashes, text, begin, end in runs(raw, offsets):
-                bit = hashes >> shift
-                hit = (seen[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1
-                keep = np.flatnonzero(hit)
-                if len(hot):
-                    name = hashes[keep] >> np.uint64(lacking)
-                    alone = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
-                    apart, keep = keep[alone], keep[~alone]
-                    own = text[apart]
-                    for d, k, p, a, z in zip(ids[own].tolist(), keys[own].tolist(), (begin[apart] - offsets[own]).tolist(),
-                                             begin[apart].tolist(), end[apart].tolist(), strict=True):
-                        for at in range(z - a - length + 1):
-                            one = bytes(data[a + at:a + at + length])
-                            grouped.setdefault((zlib.crc32(one), one), []).append((d, k, p + at))
+                keep = np.flatnonzero(in_bitmap(seen, hashes))
+                alone = is_hot(hashes[keep], hot, lacking)
+                apart, keep = keep[alone], keep[~alone]
+                if len(apart):
+                    at, run = starts_within(begin[apart], end[apart], length)
+                    again = in_bitmap(repeated, string_hashes(raw, at, length))
+                    at, own = at[again], text[apart][run[again]]
+                    for d, k, p, a in zip(ids[own].tolist(), keys[own].tolist(), (at - offsets[own]).tolist(), at.tolist(), strict=True):
+                        one = bytes(data[a:a + length])
+                        grouped.setdefault((zlib.crc32(one), one), []).append((d, k, p))
                         if len(grouped) > WAITING:
                             yield from packed(grouped)
                             grouped = {}
@@ -348,16 +433,20 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         count = end_at - begin_at
         who = np.repeat(own, count)
         which = np.repeat(begin_at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())) if len(own) else np.zeros(0, np.int64)
-        doc = np.concatenate([ids[others], ids[who]])
-        k = np.concatenate([keys[others], keys[who]])
-        a = np.concatenate([starts[others], starts[who] + part_a[which]])
-        z = np.concatenate([starts[others] + span[run_of[others]], starts[who] + part_z[which]])
+        doc, k, a, z = merged(
+            np.concatenate([ids[others], ids[who]]), np.concatenate([keys[others], keys[who]]),
+            np.concatenate([starts[others], starts[who] + part_a[which]]),
+            np.concatenate([starts[others] + span[run_of[others]], starts[who] + part_z[which]]))
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(k), pa.array(a), pa.array(z)], names=["doc_id", "key", "a", "z"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
+            done = batch.filter(batch.column(1).is_null())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(i).flatten() for i in range(2, 6)], names=["doc_id", "key", "a", "z"])
+                batch = batch.filter(batch.column(1).is_valid())
             h = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[last is not None and h[0] != last], h[1:] != h[:-1]])) if len(h) else []
             lo = 0
@@ -373,7 +462,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield judged(pa.Table.from_batches(held).combine_chunks())
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.mapInArrow(bounded(cut), "h long, run binary, ids array<long>, keys array<long>, starts array<long>")
+    runs = docs.mapInArrow(bounded(cut), "h long, run binary, ids array<long>, keys array<long>, starts array<long>, ends array<long>")
     dealt = runs.repartition(parts, "h").sortWithinPartitions("h")
     return dealt.mapInArrow(bounded(sort), "doc_id long, key long, a long, z long")
 

@@ -106,3 +106,42 @@ def test_suffix_dedup_deals_the_strings_of_a_frequent_line_apart(spark, monkeypa
         expected.append(int(gone.sum()))
     assert [got[i] for i in range(len(texts))] == expected and sum(e > 0 for e in expected) > 10
     assert largest.value < 50  # hardly any run of the line is kept whole
+
+
+def test_suffix_dedup_merges_touching_intervals_of_one_text():
+    rng = np.random.default_rng(3)
+    doc, key = rng.integers(0, 5, 300), rng.integers(-2, 2, 300)
+    a = rng.integers(0, 900, 300)
+    z = a + rng.integers(1, 12, 300)
+    covered: dict[tuple[int, int], set[int]] = {}
+    for d, k, x, y in zip(doc.tolist(), key.tolist(), a.tolist(), z.tolist(), strict=True):
+        covered.setdefault((d, k), set()).update(range(x, y))
+    got: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, k, x, y in zip(*(c.tolist() for c in suffix_dedup.merged(doc, key, a, z)), strict=True):
+        got.setdefault((d, k), []).append((x, y))
+    assert {t: {i for x, y in spans for i in range(x, y)} for t, spans in got.items()} == covered
+    assert all(y < x for spans in got.values() for (_, y), (x, _) in zip(spans, spans[1:], strict=False))
+    assert [len(c) for c in suffix_dedup.merged(*[np.zeros(0, np.int64)] * 4)] == [0] * 4
+
+
+def test_suffix_dedup_string_hashes_and_starts():
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 99, 400).astype(np.uint8)
+    at, run = suffix_dedup.starts_within(np.array([0, 200]), np.array([60, 251]), 50)
+    assert at.tolist() == [*range(11), 200, 201] and run.tolist() == [0] * 11 + [1] * 2
+    every = np.arange(len(raw) - 9)
+    h = suffix_dedup.string_hashes(raw, every, 10)
+    names = {}
+    for i, x in zip(every.tolist(), h.tolist(), strict=True):
+        assert names.setdefault(raw[i:i + 10].tobytes(), x) == x
+    assert len(set(h.tolist())) == len(names)
+
+
+def test_suffix_dedup_copies_of_one_batch(spark):
+    """Copies in one batch are judged there; repeated rows of the smallest document are no copies of it."""
+    text = "".join(chr(97 + i * i % 23) for i in range(40)) + " and a tail that is long enough to be cut"
+    rows = [(5, text), (3, text), (3, text), (9, text + " more"), (4, "x" * 30 + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect())
+    n = len(text)
+    assert got == [(3, 0, 0), (3, 0, 0), (4, n, 1), (5, n, 1), (9, n, 1)]
