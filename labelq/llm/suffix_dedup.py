@@ -108,7 +108,8 @@ class Runs:
         stops = np.append(np.flatnonzero(new | ~valid), n)
         stops = stops[np.searchsorted(stops, starts, "right")]
         text = np.searchsorted(offsets, starts + lo, "right") - 1
-        return h[starts] >> np.uint64(64 - HASH_BITS), text, starts + lo, stops + lo + self.length - 1
+        # The smallest of many hashes is small: mixed once more, minimisers fill buckets and bitmap evenly.
+        return mix(h[starts] & ~low) >> np.uint64(64 - HASH_BITS), text, starts + lo, stops + lo + self.length - 1
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -356,11 +357,11 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("text", "doc_id", F.xxhash64("text").alias("key"))
     first, second = _filters(docs, length)
     gram = min(GRAM, length)
-    columns = ["h", "run", "ids", "keys", "starts", "ends"]
-    longs = pa.list_(pa.int64())
+    columns, longs = ["h", "run", "places"], pa.list_(pa.int64())
 
     def packed(grouped: dict) -> Iterator[pa.RecordBatch]:
-        """The runs with the places in their smallest document; then, without a run, the merged intervals of the others."""
+        """The runs with the places (doc_id, key, first byte) in their smallest document; then, without a run, the merged
+        intervals (doc_id, key, begin, end) of the others."""
         items = list(grouped.items())
         for lo, hi in slices(len(items), 20000):
             part = items[lo:hi]
@@ -369,14 +370,14 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             which = np.repeat(np.arange(len(part)), sizes)
             least = np.minimum.reduceat(places[:, 0], np.cumsum(sizes) - sizes)
             own = places[:, 0] == least[which]
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(which[own], minlength=len(part)))]).astype(np.int32)
+            bounds = 3 * np.concatenate([[0], np.cumsum(np.bincount(which[own], minlength=len(part)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.binary()),
-                 *[pa.ListArray.from_arrays(bounds, pa.array(places[own, i])) for i in range(3)], pa.nulls(len(part), longs)], names=columns)
+                 pa.ListArray.from_arrays(bounds, pa.array(places[own].ravel()))], names=columns)
             size = np.array([len(x[0][1]) for x in part], np.int64)[which]
-            doc, key, a, z = merged(*places[~own].T, places[~own, 2] + size[~own])
-            if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.nulls(1, pa.binary()), *[pa.array([x], longs) for x in (doc, key, a, z)]], names=columns)
+            spans = np.stack(merged(*places[~own].T, places[~own, 2] + size[~own]), 1)
+            if len(spans):
+                yield pa.RecordBatch.from_arrays([pa.array(spans[0, 1:2]), pa.nulls(1, pa.binary()), pa.array([spans.ravel()], longs)], names=columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, (seen, hot, lacking), repeated = Runs(length, gram), first.value, second.value
@@ -410,11 +411,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         texts = batch.column("run").to_pylist()
         number: dict[bytes, int] = {}
         row_run = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-        lists = batch.column("ids").combine_chunks()
+        lists = batch.column("places").combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-        sizes = np.diff(lists.offsets.to_numpy())
-        ids = lists.flatten().to_numpy()
-        keys, starts = (batch.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "starts"))
+        sizes = np.diff(lists.offsets.to_numpy()) // 3
+        ids, keys, starts = np.ascontiguousarray(lists.flatten().to_numpy().reshape(-1, 3).T)
         run_of = np.repeat(row_run, sizes)
         owner = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(owner, run_of, ids)
@@ -445,7 +445,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             done = batch.filter(batch.column(1).is_null())
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(i).flatten() for i in range(2, 6)], names=["doc_id", "key", "a", "z"])
+                spans = done.column(2).flatten().to_numpy().reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(spans.T)], names=["doc_id", "key", "a", "z"])
                 batch = batch.filter(batch.column(1).is_valid())
             h = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[last is not None and h[0] != last], h[1:] != h[:-1]])) if len(h) else []
@@ -462,7 +463,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield judged(pa.Table.from_batches(held).combine_chunks())
 
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.mapInArrow(bounded(cut), "h long, run binary, ids array<long>, keys array<long>, starts array<long>, ends array<long>")
+    runs = docs.mapInArrow(bounded(cut), "h long, run binary, places array<long>")
     dealt = runs.repartition(parts, "h").sortWithinPartitions("h")
     return dealt.mapInArrow(bounded(sort), "doc_id long, key long, a long, z long")
 
