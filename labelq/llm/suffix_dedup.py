@@ -7,7 +7,7 @@ smaller doc_id.  Three passes over the documents:
    are counted by hash in buckets; the ones found in two or more documents go to a bitmap of fixed size
    (2 ** BITMAP_BITS bits).  A string whose minimiser is in one document only cannot repeat.
 2. The remaining text, as runs of strings with one minimiser, is dealt by minimiser, so equal strings
-   meet in one task.  There a difference-cover suffix array (period 3) is built over the runs: triples at
+   meet in one task.  There a difference-cover suffix array (period 3) is built over the different runs of each minimiser that has several: triples at
    positions 1 and 2 mod 3 are sorted and named, the names are sorted recursively, the
    suffixes at positions 0 mod 3 are sorted by first byte and rank, and both orders are merged.  Neighbours with equal
    LENGTH-byte prefixes form a class with its smallest doc_id.
@@ -420,7 +420,13 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         np.minimum.at(owner, run_of, ids)
         runs = list(number)
         span = np.array([len(r) for r in runs], np.int64)
-        run, place, low = smallest_owner(runs, owner, length)
+        # A minimiser left with one run has all its strings from one document: nothing to sort.
+        name = np.zeros(len(runs), np.int64)
+        name[row_run] = batch.column("h").to_numpy()
+        _, group, size = np.unique(name, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(size[group] > 1)
+        run, place, low = smallest_owner([runs[i] for i in several.tolist()], owner[several], length)
+        run = several[run]
         # Strings of a run's smallest owner that a smaller document has too, as intervals of places.
         hit = low < owner[run]
         key = np.sort(run[hit] * (1 << 40) + place[hit])
