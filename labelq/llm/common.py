@@ -12,6 +12,7 @@ import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,6 +30,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Spark setting that ends an Arrow batch by its bytes, and the limit used where the session has none.
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "2m"
+#: Spark setting that deletes shuffle files at the end of a query.
+SHUFFLE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +53,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block delete their shuffle files once they have ended (a setting of Spark 4.1; without it the files stay
+    until the driver's garbage is collected): what was written is read from its table."""
+    before = spark.conf.get(SHUFFLE_SETTING, None)
+    spark.conf.set(SHUFFLE_SETTING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_SETTING)
+        else:
+            spark.conf.set(SHUFFLE_SETTING, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more: what was made from them must be written itself."""
     for table in tables:

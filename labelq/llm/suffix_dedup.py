@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import PIECE, mix, slices, text_bytes
-from labelq.llm.common import bounded, materialize, read, small_batches
+from labelq.llm.common import bounded, freed_shuffles, materialize, read, small_batches
 
 LENGTH = 50
 GRAM = 24
@@ -481,7 +481,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     small_batches(docs.sparkSession)
     found = repeated_intervals(docs.select("doc_id", "text"), length)
     found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "z")).alias("_spans"))
-    found = materialize(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "suffix-spans")
+    with freed_shuffles(docs.sparkSession):
+        found = materialize(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "suffix-spans")
     rows = docs if keep_text else docs.select("doc_id", "text")
     rows = rows.withColumn("_k", F.xxhash64("text"))
     rows = rows.join(found, (rows["doc_id"] == found["_id"]) & (rows["_k"] == found["_key"]), "left").drop("_id", "_key", "_k")
