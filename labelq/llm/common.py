@@ -8,18 +8,16 @@ need no copy of this package.
 
 from __future__ import annotations
 
-import ctypes
 import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelq.session import checkpoint_dir
+from labelq.session import bounded, checkpoint_dir, free_memory, small_batches  # noqa: F401 - operators import them from here
 
 cloudpickle.register_pickle_by_value(sys.modules["labelq"])
 
@@ -27,9 +25,6 @@ cloudpickle.register_pickle_by_value(sys.modules["labelq"])
 SPACE_CHARS = " \t\n\u000b\f\r"
 #: Java regex of one run of them.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Spark setting that ends an Arrow batch by its bytes, and the limit used where the session has none.
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = "2m"
 #: Spark setting that deletes shuffle files at the end of a query.
 SHUFFLE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -76,25 +71,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Spark end an Arrow batch at BATCH_BYTES, unless the session has a limit of its own: rows of whole
-    texts make batches of very uneven size, and each exists several times in an executor."""
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-
-
-def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; at its end the Python worker, which lives on, gives free memory back."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-
-    return task
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-space characters of ``text``; empty for null or blank."""
     t = F.btrim(text, F.lit(SPACE_CHARS))

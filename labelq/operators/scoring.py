@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelq.session import ship_package
+from labelq.session import bounded, ship_package, small_batches
 
 BATCH_SIZE = 50  # rows per call (moderation pacing of the reference)
 MAX_RETRIES = 5
@@ -124,6 +124,7 @@ def batch_score(
     holds however many of them run at a time, and is used up when all do; ``pause_s=0`` leaves the rows where they are.
     """
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     keys = list(key_cols)
     src = df.select(*keys, text_col, *([F.coalesce(F.col(skip), F.lit(False)).alias("_skip")] if skip else []))
     if pause_s > 0:
@@ -183,7 +184,7 @@ def batch_score(
         if size:
             yield flush(pd.concat(pending, ignore_index=True))
 
-    return src.mapInPandas(run, out_schema)
+    return src.mapInPandas(bounded(run), out_schema)
 
 
 def gated_predict(

@@ -7,13 +7,19 @@ the setting is absent, point it at a fresh scratch folder.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+#: Spark setting that ends an Arrow batch by its bytes, and the limit used where the session has none.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "2m"
+
 
 def build_session(
     master: str = "local[*]",
@@ -67,6 +73,32 @@ def ship_package(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(sys.modules["labelq"])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark end an Arrow batch at BATCH_BYTES, unless the session has a limit of its own: rows of whole
+    texts make batches of very uneven size, and each exists several times in an executor."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def free_memory() -> None:
+    """Give memory that this Python process has freed back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow`` or ``mapInPandas``; at its end the Python worker, which lives on, gives free memory back."""
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        free_memory()
+
+    return task
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading
     it back. Use before a result fans out to several sinks (scorer output must not be
