@@ -37,7 +37,9 @@ from labelq.llm.graph import components
 #: Text bytes per bucket of the frequency sketch, and its largest size (2 ** 27 buckets of one byte).
 BUCKET_BYTES = 32
 MAX_SKETCH_BITS = 27
-SKETCH_PARTS = 64
+#: Pieces of the sketch, and sums that are made of each piece before the last one.
+SKETCH_PARTS = 512
+SKETCH_SUMS = 8
 #: Bits of the bitmap of wanted ids.
 ID_BITS = 24
 ORDERS = 3
@@ -82,8 +84,8 @@ def sketch_bits(docs: DataFrame) -> int:
 def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Rough frequency of the shingles of every hash bucket over all of ``docs``: eight steps per doubling, one byte each.
 
-    A task sends its counts as SKETCH_PARTS packed pieces; they are added in two steps, so a piece never
-    gathers more than a share of the tasks.  The driver receives 2 ** ``bits`` bytes."""
+    A task sends its counts as SKETCH_PARTS compressed pieces; they are added in two steps, so a piece never
+    gathers more than a share of the tasks.  The driver receives 2 ** ``bits`` bytes, a piece at a time."""
     size, own = 1 << bits, (1 << bits) // SKETCH_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,19 +97,19 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
                 sets = shingles(batch.column(0).slice(lo, hi - lo))
                 at, count = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 total[at] += count.astype(np.uint32)
-        salt = int.from_bytes(os.urandom(2)) % 64
+        salt, codec = int.from_bytes(os.urandom(2)) % SKETCH_SUMS, pa.Codec("zstd", 1)
         # Small counts as bytes compress well; the few larger ones follow apart.
         for part in range(SKETCH_PARTS if total.any() else 0):
             c = total[part * own:(part + 1) * own]
             big = np.flatnonzero(c > 255)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([salt]), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([salt]), pa.array([codec.compress(np.minimum(c, 255).astype(np.uint8).tobytes(), asbytes=True)], pa.binary()),
                                               pa.array([big.astype(np.int64).tobytes()], pa.binary()), pa.array([c[big].astype(np.int64).tobytes()], pa.binary())],
                                              names=["part", "salt", "low", "at", "more"])
 
     def added(pdf):
-        total = np.zeros(own, np.int64)
+        total, codec = np.zeros(own, np.int64), pa.Codec("zstd", 1)
         for low, at, more in zip(pdf["low"], pdf["at"], pdf["more"], strict=True):
-            c = np.frombuffer(low, np.uint8).astype(np.int64)
+            c = np.frombuffer(codec.decompress(low, own, asbytes=True), np.uint8).astype(np.int64)
             c[np.frombuffer(at, np.int64)] = np.frombuffer(more, np.int64)
             total += c
         return total
@@ -117,7 +119,7 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 
         total = added(pdf)
         big = np.flatnonzero(total > 255)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [np.minimum(total, 255).astype(np.uint8).tobytes()],
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "low": [pa.Codec("zstd", 1).compress(np.minimum(total, 255).astype(np.uint8).tobytes(), asbytes=True)],
                              "at": [big.astype(np.int64).tobytes()], "more": [total[big].tobytes()]})
 
     def all_(pdf):
@@ -129,8 +131,10 @@ def sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     rows = docs.select("text").mapInArrow(bounded(run), "part long, salt long, low binary, at binary, more binary")
     rows = rows.groupBy("part", "salt").applyInPandas(some, "part long, low binary, at binary, more binary")
     out = np.zeros(size, np.uint8)
-    for part, steps in rows.groupBy("part").applyInPandas(all_, "part long, low binary").toLocalIterator():
+    rows = materialize(rows.groupBy("part").applyInPandas(all_, "part long, low binary"), "ngram-sketch")
+    for part, steps in rows.toLocalIterator():
         out[part * own:(part + 1) * own] = np.frombuffer(steps, np.uint8)
+    discard(rows)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelq.llm import embedding_dedup, suffix_dedup
 
@@ -145,3 +146,32 @@ def test_suffix_dedup_copies_of_one_batch(spark):
     got = sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect())
     n = len(text)
     assert got == [(3, 0, 0), (3, 0, 0), (4, n, 1), (5, n, 1), (9, n, 1)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Lineage cuts read their tables again, never the shuffles that made them."""
+    from labelq.llm.common import SHUFFLE_SETTING, materialize
+
+    def shuffles() -> set:
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_SETTING, None)
+    out = materialize(spark.range(1000).groupBy(F.col("id") % 10).count().repartition(3), "shuffle-test")
+    assert not shuffles() - before
+    assert spark.conf.get(SHUFFLE_SETTING, None) == setting
+    assert sorted(map(tuple, out.collect())) == [(i, 100) for i in range(10)]
+
+
+@pytest.mark.parametrize("bits", [16, 18])
+def test_sketch_counts(spark, bits):
+    """Buckets over and under 255, added from several tasks."""
+    from labelq.llm.ngram_jaccard import Shingler, sketch
+    import pyarrow as pa
+
+    texts = ["a b c"] * 400 + [f"x{i} y{i % 7} z q" for i in range(300)] + [None, ""]
+    got = sketch(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 3, bits)
+    want = np.zeros(1 << bits, np.int64)
+    for s in Shingler(3)(pa.array(texts)):
+        np.add.at(want, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+    assert (got == np.minimum(np.round(8 * np.log2(np.maximum(want, 1))), 255)).all()
