@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelq.llm.bytesops import PIECE, WordHasher, byte_values, slices, text_bytes
-from labelq.llm.common import bounded, read, small_batches
+from labelq.llm.common import bounded, free_memory, read, small_batches
 from labelq.llm.toxicity_pu import held_out
 
 MAX_LABELLED = 4096
@@ -154,7 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     y = got["y"].to_numpy().astype(np.float32)
     if not len(y):
         return Model(idf, np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
-    x = np.stack([np.frombuffer(b.as_py(), np.float16) for b in got["row"]]).astype(np.float32) * idf
+    # Row by row into one array: the driver holds the sample twice at most, packed and as numbers.
+    x = np.empty((len(y), FEATURES), np.float32)
+    for i, b in enumerate(got["row"]):
+        np.multiply(np.frombuffer(b.as_buffer(), np.float16), idf, out=x[i])
+    del got, b
+    free_memory()
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     q = np.random.default_rng(7).standard_normal((FEATURES, min(DIMENSIONS, len(y)))).astype(np.float32)
     for _ in range(6):
@@ -162,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     q = np.ascontiguousarray(q)
     v = x @ q
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    del x
+    free_memory()
     return Model(idf, q, v.astype(np.float32), y, float(y.mean()))
 
 
