@@ -50,7 +50,7 @@ BITMAP_BITS = 27
 #: Bits of a minimiser's hash; the low bits hold its place while the smallest is sought.
 HASH_BITS = 44
 #: Distinct bytes per suffix array (more only when one minimiser has more).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Different runs of one minimiser, summed over the batches that hold two or more, from which its strings are dealt alone.
 HOT = 4096
 #: Strings that wait in a task to be collapsed.

@@ -109,6 +109,27 @@ def test_suffix_dedup_deals_the_strings_of_a_frequent_line_apart(spark, monkeypa
     assert largest.value < 50  # hardly any run of the line is kept whole
 
 
+def test_suffix_dedup_sorts_a_few_runs_at_a_time(spark, monkeypatch):
+    """Lines that come twice among other neighbours: many minimisers, each with several runs, never sorted all at once."""
+    rng = np.random.default_rng(8)
+    lines = rng.integers(97, 123, (20000, 60), dtype=np.uint8)
+    texts = ["".join((a * 20, bytes(x).decode(), a * 20)) for a in "12" for x in lines]
+    calls = spark.sparkContext.accumulator(0)
+    over = spark.sparkContext.accumulator(0)
+    add, add_over, whole = calls.add, over.add, suffix_dedup.smallest_owner
+
+    def watched(runs, owner, length):
+        add(1)
+        add_over(sum(map(len, runs)) > 400_000)
+        return whole(runs, owner, length)
+
+    monkeypatch.setattr(suffix_dedup, "smallest_owner", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = dict(suffix_dedup.remove_repeats(df).select("doc_id", "n_removed").collect())
+    assert {got[i] for i in range(1, 20000)} == {0} and {got[i] for i in range(20001, 40000)} == {60}
+    assert calls.value > 0 and over.value == 0
+
+
 def test_suffix_dedup_merges_touching_intervals_of_one_text():
     rng = np.random.default_rng(3)
     doc, key = rng.integers(0, 5, 300), rng.integers(-2, 2, 300)
